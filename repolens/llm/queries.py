@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import code_text as C
+from . import corpus_text as T
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,8 +56,36 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return C.split_oversized(table(spark, d, "code_repo"), _chunk_limits(spark, d))
 
 
+def _capacity(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "size_limits").filter("item_kind = 'document' AND unit = 'token'").agg(F.min("max_size")).first()[0]
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return T.containers(table(spark, d, "documents"), _capacity(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return p7_containers(spark, d).groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("parts"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return T.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return T.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return T.mislabelled(table(spark, d, "documents"), T.language_model(table(spark, d, "lang_samples")))
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return T.passages_by_language(table(spark, d, "documents"), T.language_model(table(spark, d, "lang_samples")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
 }
 
 SQL: dict[str, str] = {
