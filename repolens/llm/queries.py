@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import code_text as C
 from . import corpus_text as T
+from . import near_duplicates as N
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return C.split_oversized(table(spark, d, "code_repo"), _chunk_limits(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return N.similar_pairs(table(spark, d, "code_repo"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return N.near_duplicate_groups(table(spark, d, "code_repo"))
+
+
 def _capacity(spark: SparkSession, d: str) -> int:
     return table(spark, d, "size_limits").filter("item_kind = 'document' AND unit = 'token'").agg(F.min("max_size")).first()[0]
 
@@ -85,7 +94,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p6_found, p6_groups, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
 }
 
 SQL: dict[str, str] = {
