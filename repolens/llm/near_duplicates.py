@@ -11,6 +11,7 @@ last, so a passage that a third of all texts hold roots no trie unless these tex
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,47 +25,60 @@ from ..session import checkpoint
 from . import trie
 
 THRESHOLD, LEAST, N = 0.6, 40, 3
-TABLE = 1 << 20  # counters of shingles, whatever the number of shingles
+TABLE = 1 << 22  # counters of shingles, whatever the number of shingles
 BLOCK = 512  # members of a trie that one task joins
 COPIES = 64  # classes of up to so many equal texts come out as all their pairs, larger ones as a star around one of them
 
 
-def shingle_table(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
-    """(chunk_id, project_id, file_path, class_id, shingles) of chunks with at least `least` words; null contents have none."""
+def class_sets(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
+    """(class_id, shingles) of the contents of at least `least` words, one row a class; null contents have none."""
+
+    def batch(contents):
+        out = {c[0]: c[1].tobytes() for c in trie.shingled(contents, n, least) if c}
+        return list(out), list(out.values())
+
+    sets = map_batches(chunks.select("content"), batch, "class_id binary, shingles binary")
+    return sets.groupBy("class_id").agg(F.first("shingles").alias("shingles"))
+
+
+def class_members(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
+    """(chunk_id, project_id, file_path, class_id) of the chunks with at least `least` words."""
 
     def batch(ids, projects, paths, contents):
-        out = [
-            (i, p, f, c[0], c[1].tobytes())
-            for i, p, f, c in zip(ids, projects, paths, trie.shingled(contents, n, least), strict=True)
-            if c
-        ]
-        return list(zip(*out, strict=True)) or [[]] * 5
-
-    return map_batches(
-        chunks.select("chunk_id", "project_id", "file_path", "content"), batch,
-        "chunk_id string, project_id string, file_path string, class_id binary, shingles binary",
-    )
+        out = [(i, p, f, c[0]) for i, p, f, c in zip(ids, projects, paths, trie.shingled(contents, n, least, sets=False), strict=True) if c]
+        return list(zip(*out, strict=True)) or [[]] * 4
+
+    rows = chunks.select("chunk_id", "project_id", "file_path", "content")
+    return map_batches(rows, batch, "chunk_id string, project_id string, file_path string, class_id binary").distinct()
 
 
-def _shingle_counts(table: DataFrame) -> np.ndarray:
-    from .corpus_text import _add_up
+def _shingle_counts(classes: DataFrame) -> np.ndarray:
+    """Counters of all shingles by hash, added up in two rounds of tasks; packed, as most are small."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.float64)
+        total = np.zeros(TABLE, np.uint32)
+        for b in batches:
+            np.add.at(total, np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32) % TABLE, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["blob"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TABLE, np.uint64)
         for b in batches:
-            blob = b"".join(b.column(0).to_pylist())
-            total += np.bincount(np.frombuffer(blob, np.uint32) % TABLE, minlength=TABLE)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
+            for x in b.column(0):
+                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["blob"])
 
-    parts = max(1, int(table.rdd.getNumPartitions() ** 0.5))
-    rows = _add_up(table.select("shingles").mapInArrow(count, "blob binary"), parts).collect()
-    return np.minimum(np.frombuffer(rows[0].blob, np.float64), 2**32 - 1).astype(np.uint32) if rows else np.zeros(TABLE, np.uint32)
+    parts = max(1, int(classes.rdd.getNumPartitions() ** 0.5))
+    counted = classes.select("shingles").mapInArrow(count, "blob binary")
+    rows = counted.repartition(parts).mapInArrow(add, "blob binary").coalesce(1).mapInArrow(add, "blob binary").collect()
+    return np.frombuffer(zlib.decompress(rows[0].blob), np.uint32)
 
 
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """classes(class_id, shingles), one row a class -> (a, b, similarity) for all pairs a < b of similar classes."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(_shingle_counts(classes))  # fixed size: 4 MB
+    shared = spark.sparkContext.broadcast(_shingle_counts(classes))  # fixed size: 16 MB
 
     def prefixes(with_sketch: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +100,8 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
                         sketches.append(trie.sketch(s))
                 key = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
                 if not with_sketch:
-                    u, n = np.unique(key, return_counts=True)
+                    # a counter is never below the true number, so only these can root a large trie
+                    u, n = np.unique(key[counts[key % TABLE] > block], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], names=["shingle", "n"])
                     continue
                 who = np.concatenate(owners) if owners else np.zeros(0, np.int64)
@@ -159,9 +174,11 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
             if out:
                 yield out
 
-    candidates = groups.mapInArrow(tries, "a binary, b binary").distinct()
-    left = source.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
-    right = source.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
+    candidates = checkpoint(groups.mapInArrow(tries, "a binary, b binary").distinct())
+    wanted = candidates.select(F.col("a").alias("class_id")).union(candidates.select("b")).distinct()
+    sets = checkpoint(source.join(wanted, "class_id", "left_semi"))
+    left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
 
     def verify(a, b, sa, sb):
         out = []
@@ -183,10 +200,7 @@ def _columns(t: pa.Table) -> list:
 
 
 def _prepared(chunks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    table = checkpoint(shingle_table(chunks))
-    classes = table.groupBy("class_id").agg(F.first("shingles").alias("shingles"))
-    members = table.select("chunk_id", "project_id", "file_path", "class_id").distinct()
-    return members, class_links(checkpoint(classes), threshold)
+    return checkpoint(class_members(chunks)), class_links(checkpoint(class_sets(chunks)), threshold)
 
 
 def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, copies: int = COPIES) -> DataFrame:

@@ -94,9 +94,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingled(texts: list[str | None], n: int = 3, least: int = 40) -> list[tuple[bytes, np.ndarray] | None]:
+def shingled(texts: list[str | None], n: int = 3, least: int = 40, sets: bool = True) -> list[tuple[bytes, np.ndarray] | None]:
     """For each text (class id of its word sequence, sorted distinct uint32 hashes of its runs of n words), None for
-    texts with fewer than `least` words. A word is a run of ASCII letters, digits and underscores, lower-case."""
+    texts with fewer than `least` words. Without `sets` the arrays are left empty. A word is a run of ASCII letters, digits and underscores, lower-case."""
     out: list = []
     group: list[bytes] = []
     held = 0
@@ -105,12 +105,12 @@ def shingled(texts: list[str | None], n: int = 3, least: int = 40) -> list[tuple
         group.append(b)
         held += len(b) + 1
         if held >= _CHUNK:
-            out += _shingled(group, n, least)
+            out += _shingled(group, n, least, sets)
             group, held = [], 0
-    return out + _shingled(group, n, least)
+    return out + _shingled(group, n, least, sets)
 
 
-def _shingled(group: list[bytes], n: int, least: int) -> list:
+def _shingled(group: list[bytes], n: int, least: int, sets: bool) -> list:
     if not group:
         return []
     data = np.frombuffer(b"\n".join([*group, b""]), np.uint8)
@@ -133,7 +133,8 @@ def _shingled(group: list[bytes], n: int, least: int) -> list:
     b = np.add.reduceat(_mix(h) * down[k + 1], first[:-1][counts > 0])
     some = np.flatnonzero(counts > 0)
     ids = dict(zip(some.tolist(), zip(a.tolist(), b.tolist(), strict=True), strict=True))
-    if len(h) >= n:
+    values, at = np.zeros(0, np.uint32), np.zeros(len(group) + 1, np.int64)
+    if sets and len(h) >= n:
         s = np.zeros(len(h) - n + 1, np.uint64)
         for j in range(n):
             s = _mix(s + h[j : len(h) - n + 1 + j])
