@@ -192,8 +192,8 @@ class LeakSearch:
         def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((d, width), np.float64)
             for _, passages in _passages(batches, shared.value):
-                m = leaks.matrix(passages, idf)
-                total += m.T @ (m @ start)
+                m = leaks.Rows(passages, idf)
+                total += m.transposed_times(m.times(start), d)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
         blob = _add_up(self.encoded.mapInArrow(sketch, "blob binary"), parts).collect()[0].blob
@@ -212,7 +212,7 @@ class LeakSearch:
         schema = "doc_id bigint, item_id bigint, run boolean, share double, answer double"
         if not found.vocabulary or not found.windows:
             return self.encoded.sparkSession.createDataFrame([], schema)
-        rows = leaks.matrix([w for _, w in found.windows], idf) @ basis
+        rows = leaks.Rows([w for _, w in found.windows], idf).times(basis)
         windows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
         owner = np.array([k for k, _ in found.windows])
         rare = [set(np.unique(ids)[np.argsort(-idf[np.unique(ids)], kind="stable")[:5]].tolist()) for _, ids in found.items]
@@ -222,16 +222,23 @@ class LeakSearch:
             it = shared.value
             out: set[tuple] = set()
             for docs, passages in _passages(batches, it):
-                m = leaks.matrix(passages, idf) @ basis
+                m = leaks.Rows(passages, idf).times(basis)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
                 near = m @ windows.T
-                for i in np.flatnonzero(near.max(1) >= cosine):
+                candidates = np.flatnonzero(near.max(1) >= cosine)
+                if not len(candidates):
+                    continue
+                may = leaks.with_run([passages[i] for i in candidates], run)
+                for i, exact in zip(candidates.tolist(), may.tolist(), strict=True):
+                    if not exact and paraphrase is None:
+                        continue
                     p = passages[i]
                     near_items = set(owner[near[i] >= cosine].tolist())
-                    ok = (p >= 0).astype(np.int32)
-                    whole = np.flatnonzero(np.convolve(ok, np.ones(run, np.int32), "valid") == run) if len(p) >= run else ()
-                    hit = {k for a in whole for k in it.runs.get(p[a : a + run].tobytes(), ()) if k in near_items}
-                    out.update((docs[i], it.items[k][0], True, None, None) for k in hit)
+                    hit = set()
+                    if exact:
+                        whole = np.flatnonzero(np.convolve((p >= 0).astype(np.int32), np.ones(run, np.int32), "valid") == run)
+                        hit = {k for a in whole for k in it.runs.get(p[a : a + run].tobytes(), ()) if k in near_items}
+                        out.update((docs[i], it.items[k][0], True, None, None) for k in hit)
                     if paraphrase is not None:
                         have = set(p.tolist())
                         for k in near_items - hit:

@@ -79,19 +79,47 @@ class Items:
         return out
 
 
-def matrix(passages: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of unit length."""
-    d = len(idf)
-    if not passages:
-        return np.zeros((0, d), np.float32)
-    flat = np.concatenate(passages).astype(np.int64)
-    row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-    keep = flat >= 0
-    counts = np.bincount(row[keep] * d + flat[keep], minlength=len(passages) * d).reshape(len(passages), d)
-    m = np.log1p(counts).astype(np.float32)
-    m *= idf
-    norm = np.sqrt((m * m).sum(1, keepdims=True))
-    return m / np.maximum(norm, 1e-9)
+class Rows:
+    """TF-IDF rows of unit length, kept sparse: entries sorted by row; every row has at least one word of the vocabulary."""
+
+    def __init__(self, passages: list[np.ndarray], idf: np.ndarray):
+        d, n = len(idf), len(passages)
+        flat = np.concatenate(passages).astype(np.int64)
+        row = np.repeat(np.arange(n), [len(p) for p in passages])
+        keep = flat >= 0
+        key, count = np.unique(row[keep] * d + flat[keep], return_counts=True)
+        self.row, self.col = key // d, key % d
+        weight = np.log1p(count.astype(np.float32)) * idf[self.col] + np.float32(1e-9)
+        self.start = np.searchsorted(self.row, np.arange(n))
+        norm = np.sqrt(np.add.reduceat(weight * weight, self.start))
+        self.weight = weight / norm[self.row]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        """Product with a dense matrix of vocabulary rows."""
+        return np.add.reduceat(m[self.col] * self.weight[:, None], self.start, axis=0)
+
+    def transposed_times(self, m: np.ndarray, d: int) -> np.ndarray:
+        """Product of the transpose with a dense matrix of passage rows."""
+        order = np.argsort(self.col, kind="stable")
+        col = self.col[order]
+        first = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+        out = np.zeros((d, m.shape[1]), np.float64)
+        out[col[first]] = np.add.reduceat(m[self.row[order]] * self.weight[order, None], first, axis=0)
+        return out
+
+
+def with_run(passages: list[np.ndarray], run: int) -> np.ndarray:
+    """Which passages hold `run` words of the vocabulary in a row."""
+    sizes = np.array([len(p) for p in passages])
+    end = np.cumsum(sizes)
+    flat = np.concatenate(passages) >= 0
+    total = np.concatenate([[0], np.cumsum(flat)])
+    out = np.zeros(len(passages), bool)
+    if len(flat) >= run:
+        whole = np.flatnonzero(total[run:] - total[:-run] == run)
+        owner = np.searchsorted(end, whole, "right")
+        out[owner[whole + run <= end[owner]]] = True
+    return out
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
