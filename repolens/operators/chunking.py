@@ -195,7 +195,7 @@ def import_entries(files: DataFrame) -> DataFrame:
     js = statements(r"(?m)^[ \t]*import\s+\w+\s+from\s*['\"][^'\"\r\n]+['\"]", "javascript", "typescript").withColumn("_m", F.regexp_extract("s", r"from\s*['\"]([^'\"]+)", 1))
     out = out.unionByName(entries(js, F.regexp_extract("s", r"import\s+(\w+)", 1), F.col("_m"), F.concat(F.col("_m"), F.lit(".default")), F.lit(False)))
 
-    java = statements(r"(?m)^[ \t]*import\s+(?:static\s+)?[\w.]+(?:\.\*)?\s*;?", "java", "kotlin").withColumn("_f", F.regexp_extract("s", r"import\s+(?:static\s+)?([\w.]+(?:\*)?)", 1))
+    java = statements(r"(?m)^[ \t]*import\s+(?:static\s+)?[\w.]*\w(?:\.\*)?", "java", "kotlin").withColumn("_f", F.regexp_extract("s", r"import\s+(?:static\s+)?([\w.]*\w(?:\.\*)?)$", 1))
     short = F.substring_index("_f", ".", -1)
     out = out.unionByName(entries(java.filter(F.col("_f") != ""), short, F.regexp_replace("_f", r"\.?[^.]*$", ""), F.col("_f"), short == "*"))
     cs = statements(r"(?m)^[ \t]*using\s+(?:static\s+)?[\w.]+\s*;", "c_sharp").withColumn("_f", F.regexp_extract("s", r"using\s+(?:static\s+)?([\w.]+)", 1))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from .collections import latest, top_per_group
@@ -54,6 +56,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", b
     q = np.array([r.embedding for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
     shared = vectors.sparkSession.sparkContext.broadcast((names, q))
+    arrow = to_arrow_schema(T._parse_datatype_string(kind))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
@@ -74,9 +77,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", b
                     order = np.stack([np.lexsort(([held[j] for j in ids[i]], -score[i]))[:k] for i in range(len(names))])
                     score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
         n = score.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x in names for _ in range(n)]), pa.array([held[j] for j in ids.ravel()]), pa.array(score.ravel())], names=["query_id", key, "score"]
-        )
+        columns = [[x for x in names for _ in range(n)], [held[j] for j in ids.ravel()], score.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     near = vectors.select(key, "embedding").filter("embedding IS NOT NULL").mapInArrow(best, kind)
     return top_per_group(near, ["query_id"], k, F.desc("score"), F.asc(key))

@@ -134,11 +134,13 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
 class Snapshot:
     """A keyed collection kept as a Parquet table partitioned by project. Changes rewrite the touched projects only."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", sort: str = "file_path"):
-        self.spark, self.path, self.key, self.sort = spark, path, key, sort
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", sort: str = "file_path", schema: str | None = None):
+        self.spark, self.path, self.key, self.sort, self.schema = spark, path, key, sort, schema
 
     def create(self, schema: str) -> None:
-        """Makes the table unless it is there; doing it again changes nothing."""
+        """Makes the table unless it is there; doing it again changes nothing. An empty table has no file that tells its
+        columns, so the schema is kept (or given to the constructor)."""
+        self.schema = schema
         if not self.exists():
             self.spark.createDataFrame([], schema).write.partitionBy("project_id").parquet(self.path)
 
@@ -147,7 +149,8 @@ class Snapshot:
         return fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(self.path)
 
     def _write(self, df: DataFrame, projects: DataFrame) -> None:
         out = checkpoint(df)
