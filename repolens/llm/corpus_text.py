@@ -115,7 +115,8 @@ def pack(sizes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
 
 def containers(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER) -> DataFrame:
     """Assignment of all documents to containers of `capacity` tokens."""
-    return pack(token_counts(documents, tokenizer), capacity)[0]
+    # cutting into ranges reads its input twice; texts are tokenised once
+    return pack(checkpoint(token_counts(documents, tokenizer)), capacity)[0]
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
