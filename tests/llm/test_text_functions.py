@@ -1,0 +1,222 @@
+"""Functions under the operators: exact cases, round trips and brute force."""
+
+import ast
+import random
+import re
+import warnings
+from pathlib import Path
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from repolens.llm import docs, language, leaks, lexer, origin, packing, secrets, splitter, syntax, trie
+
+GOOD = {
+    "python": ["x = 1\n", "﻿# c\n", "", "def f(a, *, b=1):\n    return f'{a!r} {{}} {b:{a}}'\n", "match x:\n    case 1:\n        pass\n", "s = f\"{d[\"k\"]}\"\n", "if x:\n\ty = '''a\n'''\r\n"],
+    "javascript": ["const a = /[/]'/.test(b) ? `x ${c ? `y${d}` : ''}` : 2;\n", "#!/usr/bin/env node\nlet x = a / b / c;\n", "class A { #p = 1; get v() { return this.#p } }\n", "// only\n", "let rawA = \"<<<<<<< mine\";\n"],
+    "typescript": ["function f<T extends object>(x: T, y?: number): asserts x is T {\n}\n", "export type A = { [k: string]: number } | null;\n", "let v = <any>x!;\n"],
+    "java": ["package a;\npublic class A { String s = \"\"\"\n  text \"q\"\n  \"\"\"; char c = '\\''; }\n", "@Deprecated\nfinal class B<T> { T[] x; }\n"],
+    "go": ["package a\n\nfunc (s *A) f(x ...int) (int, error) {\n\treturn 1, nil\n}\n", "// c\npackage b\n\nvar s = `raw \\`\n"],
+    "c": ["#define X(a) \\\n  (a)\n#if 1\nint f(void) {\n#else\nint g(void) {\n#endif\n  return '\\'';\n}\n"],
+    "cpp": ["auto s = R\"x(a\")x\"; int n = 1'000;\ntemplate <typename T> T f(T&& a) { return [=] { return a; }(); }\n"],
+    "c_sharp": ["using A.B;\nclass C { string s = $@\"a {x} \"\"q\"\"\"; string r = \"\"\"raw \"q\" \"\"\"; }\n"],
+    "kotlin": ["package a\nfun f(x: Int = 1): String = \"a ${if (x > 1) \"b\" else \"c\"}\"\n/* a /* b */ c */\n"],
+    "php": ["<?php\n$a = <<<X\n it's {$b}\nX;\n# c ?>\n<b>it's</b>\n"],
+}
+BAD = {
+    "python": ["def f(:\n    pass\n", "x = 'a\n", "def {{ n }}():\n    pass\n", "if x:\n<<<<<<< a\n    y = 1\n=======\n    y = 2\n>>>>>>> b\n", "package main\n", "x = (1\n", "for i in x:\n"],
+    "javascript": ["function f() {\n", "{\n  \"a\": 1\n}\n", "def f(x):\n    return 1\n", "let a = \"x\n", "<!DOCTYPE html>\n<html></html>\n", "function @@n@@() {}\n"],
+    "java": ["class A { void f() { }\n", "# Title\n\nSome words of prose here.\n", "class A { long {% x %}() { } }\n"],
+    "go": ["func f() {}\n", "package a\nfunc f() {\n"],
+    "c": ["int f( {\n  return 1;\n}\n", "int f() { char *s = \"a; }\n"],
+    "kotlin": ["fun f() {\n<<<<<<< x\n}\n"],
+    "php": ["<?php\n$a = 'x;\n"],
+}
+
+
+@pytest.mark.parametrize(("spoken", "text"), [(k, t) for k, ts in GOOD.items() for t in ts])
+def test_valid_texts(spoken, text):
+    assert syntax.problem(text, spoken) is None
+
+
+@pytest.mark.parametrize(("spoken", "text"), [(k, t) for k, ts in BAD.items() for t in ts])
+def test_broken_texts(spoken, text):
+    assert syntax.problem(text, spoken)
+
+
+def test_python_agrees_with_the_parser_on_damaged_texts():
+    rng = random.Random(5)
+    source = Path(splitter.__file__).read_text().split("\n")
+    missed = wrong = broken = 0
+    for _ in range(120):
+        lines = list(source)
+        kind = rng.randrange(3)
+        if kind == 0:
+            text = "\n".join(lines)[: rng.randrange(40, 4000)]
+        elif kind == 1:
+            i = rng.randrange(len(lines))
+            lines[i] = re.sub(r"[()\[\]{}:\"]", "", lines[i], count=1)
+            text = "\n".join(lines)
+        else:
+            lines.insert(rng.randrange(len(lines)), "<<<<<<< HEAD")
+            text = "\n".join(lines)
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(text)
+            valid = True
+        except SyntaxError:
+            valid = False
+        found = syntax.problem(text, "python")
+        broken += not valid
+        missed += not valid and not found
+        wrong += valid and bool(found)
+    assert wrong == 0 and missed <= 0.1 * broken
+
+
+@given(st.text(max_size=300), st.sampled_from(sorted(lexer._STARTS)))
+@settings(max_examples=150, deadline=None)
+def test_no_text_breaks_the_code_functions(text, spoken):
+    s = lexer.scan(text, spoken)
+    assert isinstance(s.code, str)
+    syntax.problem(text, spoken)
+    docs.comment_spans(text, spoken)
+    origin.origin("a/b.py", None, text)
+    assert secrets.mask(text) is not None
+    assert len(secrets.mask(text).split("\n")) == len(text.split("\n"))
+
+
+def test_documentation():
+    text = "# Reads all the open things\n# from the given place today.\ndef f(x):\n    pass\n\n\ndef g():\n    '''Says enough words about what happens.'''\n\nx = 1  # a remark after code that is long enough\ndef h():\n    pass\n"
+    spans = docs.comment_spans(text, "python")
+    assert [(s[2], s[3]) for s in spans] == [(3, "comment"), (7, "docstring")]
+    say = docs.says_something
+    assert say("/** Moves every open ticket to the next free shelf. */", "f")
+    assert say("// 这个函数把所有打开的项目移到下一个位置", "f")
+    assert say("/// <summary>\n/// Wartet, bis alle offenen Teile fertig sind.\n/// </summary>", "F")
+    for empty in ("# TODO: document", "/** @param a the value of the thing that counts\n * @return nothing at all here */", "// eslint-disable-next-line no-unused-vars", "// x = f(a, b);\n// return x + y * 2;",
+                  "/** loadAllOpenTickets. */", '"""Args:\n    a: the first of many values in here\n"""', "", None, "// ======"):
+        assert not say(empty, "loadAllOpenTickets", ["a"])
+    assert docs.comment_spans("// A comment that has enough words.\n\n\nint f() {\n}\n", "c", max_gap=2)[0][2] == 4
+
+
+def test_origin():
+    hand = "def f(x):\n    return x\n" * 20
+    assert origin.origin("src/a.py", "python", hand) is None
+    assert origin.origin("src/a.py", None, "# Code generated by tool. DO NOT EDIT.\n" + hand) == "generated"
+    assert origin.origin("src/a_pb2.py", None, hand) == "generated"
+    assert origin.origin("src/a.py", None, "# Writes the 'do not edit' banner into every output file.\n" + hand) is None
+    assert origin.origin("vendor_onboarding/a.py", None, hand) is None
+    assert origin.origin("x/third_party/lib/a.py", None, hand) == "vendored"
+    assert origin.origin("a.js", None, "!function(){" + "function a(b){return b?1:2}var c=a(1);" * 60 + "}();") == "minified"
+    assert origin.origin("a.py", None, "D = [" + "0x1f, " * 400 + "]\n") == "data"
+    assert origin.origin("a.yaml", None, "generated by tool\n") is None and origin.origin("a.py", None, None) is None
+
+
+def test_secrets():
+    yes = ['let authTok = "-AKx4kYFiP5QnuGEebGSYi6Zz-UBTQ7xqUQP";', 'dsn = "mysql://relay:Tariff2004!Tracer@db.example:99/x"', 'login("relay_svc", "Kernel1441#Journal");', "# curl -H 'X-Api-Key: d507178aa9ddfbb45e8469aec7993ad6' https://a.example",
+           'apiToken = "vmx_live_XLaTpc6" + "gLLuSeqMxdqgnJvk6"', 'conn = "Server=a;User Id=b;Pwd=gutter-claim-watcher-99049;"']
+    no = ['password = "changeme"', 'token = "${TOKEN}"', 'checksum = "9cfb129fd4b5a6cc33da7c5c99bb0ed51fa604cd78a1b13ab40638f87bd07f14"', 'secret = get_secret("deploy token")', 'tokenLabel = "rebate token expired"',
+          'let sessionToken = fetchToken(orbit, 3637);', 'dsn = "postgres://mortar@db.example:5432/b"', 'api_key = ""', 'key = "-----BEGIN PUBLIC KEY-----\\nAAAA"', "# the password is kept in the vault"]
+    for x in yes:
+        assert secrets.lines("a\n" + x + "\nb") == [2], x
+        assert secrets.mask(x) != x and len(secrets.mask(x)) == len(x)
+    for x in no:
+        assert secrets.lines(x) == [] and secrets.mask(x) == x, x
+    assert secrets.lines("a: 1\nAPI_KEY=u5bqtrfpdhk4aj5F_x\n", config=True) == [2]
+    assert secrets.lines(None) == [] and secrets.mask(None) is None
+
+
+@given(st.text(alphabet="ab \n.;{}\r", max_size=400), st.integers(2, 60), st.integers(0, 40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_put_together_give_the_text(text, limit, overlap):
+    ps = splitter.pieces(text, limit, overlap, 10, 10 + text.count("\n"))
+    assert "".join(p.content[p.overlap :] for p in ps) == text
+    assert all(len(p.content) <= limit for p in ps) and all(p.overlap == min(overlap, (limit - 1) // 2) for p in ps[1:])
+    assert all(10 <= p.start_line <= p.end_line for p in ps)
+
+
+def test_pieces_cut_at_seams():
+    text = "\n".join(f"def f{i}():\n    return {i}\n" for i in range(40))
+    ps = splitter.pieces(text, 200, 0, 1, text.count("\n") + 1)
+    assert all(p.content.startswith("def") for p in ps)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_trie_join_loses_no_pair(seed):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 2**32, 60, dtype=np.uint32)) for _ in range(8)]
+    sets = []
+    for _ in range(60):
+        s = base[rng.integers(0, 8)].copy()
+        k = rng.integers(0, 25)
+        s[rng.integers(0, len(s), k)] = rng.integers(0, 2**32, k, dtype=np.uint32)
+        sets.append(np.unique(s))
+    bits = [int.from_bytes(trie.sketch(s), "big") for s in sets]
+    found = set(trie.join(bits, [len(s) for s in sets], 0.6))
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.6:
+                assert (i, j) in found
+    across = set(trie.join(bits, [len(s) for s in sets], 0.6, split=30))
+    assert across == {(i, j) for i, j in found if i < 30 <= j}
+    assert trie.join([5] * 50, [10] * 50, 0.6) and len(trie.join([5] * 50, [10] * 50, 0.6)) == 50 * 49 // 2
+
+
+def test_shingles_are_those_of_the_definition():
+    texts = ["a b c d", "A  b,c; d", None, "", "é a_b 1 É", "x y"]
+    got = trie.shingled(texts, 3, 1)
+    assert got[2] is None and got[3] is None and got[5] is None
+    assert got[0][0] == got[1][0] and len(got[0][1]) == 2 and (got[0][1] == got[1][1]).all()
+    assert got[4] is None
+    long = " ".join(f"w{i}" for i in range(400_000))
+    assert len(trie.shingled([long, "a b c"], 3, 3)[0][1]) > 399_000
+
+
+@given(st.dictionaries(st.integers(0, 40), st.integers(1, 30), max_size=15))
+@settings(max_examples=200, deadline=None)
+def test_plans_place_everything_once(histogram):
+    runs, n = packing.plan(histogram, 40)
+    seen, fill, large = {}, {}, {}
+    for r in runs:
+        assert r.rank == seen.get(r.size, 0)
+        seen[r.size] = r.rank + r.count
+        for i in range(r.count):
+            c = r.container + i // r.each
+            fill[c] = fill.get(c, 0) + r.size
+            large[c] = large.get(c, 0) + (3 * r.size > 40)
+    assert seen == {s: k for s, k in histogram.items() if s} and max(fill.values(), default=0) <= 40 and max(large.values(), default=0) <= 2
+    assert len(fill) == n or (not fill and n == (1 if histogram.get(0) else 0))
+
+
+def test_leak_words():
+    plain = leaks.words("The quick brown fox, jumps over 12 dogs")
+    for dirty in ("> the quick\n> brown fox\n> jumps over 12 dogs", "The **quick** brown&nbsp;fox jumps <b>over</b> 12 dogs", "the qu\u200bick brown fox jum-\nps over 12 dogs", "THE QUICK  brown\r\n- fox jumps\n- over 12 dogs",
+                  "the _quick_ [brown](https://x.example/a) fox jumps over 12 dogs", "// the quick\n// brown fox jumps over 12 dogs"):
+        assert leaks.words(dirty) == plain, dirty
+    assert leaks.words("a\n12. b") == ["a", "b"] and leaks.words("a\n12. b", numbers=False) == ["a", "12", "b"]
+    assert leaks.longest_common(np.array([1, 2, 3, 4]), np.array([2, -1, 4, 1])) == 2
+
+
+def test_language_model_on_held_out_sentences():
+    path = Path("/root/testdata/sf0.001/lang_samples.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(path)
+    rows = list(zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True))
+    m = language.train(rows)
+    assert m.held_out >= 0.9
+    found = language.detect([None, "", "```\ncode\n```", *(x for _, x in rows)], m)
+    assert [f.langs for f in found[:3]] == [[], [], []]
+    assert np.mean([f.langs[0][0] == lang for f, (lang, _) in zip(found[3:], rows, strict=True) if f.langs]) >= 0.98
+    two = "\n\n".join(" ".join(x for lang, x in rows if lang == c) for c in ("de", "fr"))
+    assert {x[0] for x in language.detect([two], m)[0].langs} == {"de", "fr"}
+
+
+def test_language_labels():
+    assert [language.label(x) for x in ("EN", "en_GB", "pt-BR", "German", "zho", "und", "??", None, "")] == ["en", "en", "pt", "de", "zh", None, None, None, None]
