@@ -72,12 +72,15 @@ def _shingle_counts(classes: DataFrame) -> np.ndarray:
     parts = max(1, int(classes.rdd.getNumPartitions() ** 0.5))
     counted = classes.select("shingles").mapInArrow(count, "blob binary")
     rows = counted.repartition(parts).mapInArrow(add, "blob binary").coalesce(1).mapInArrow(add, "blob binary").collect()
-    return np.frombuffer(zlib.decompress(rows[0].blob), np.uint32)
+    return np.frombuffer(zlib.decompress(rows[0].blob), np.uint32) if rows else np.zeros(TABLE, np.uint32)
 
 
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """classes(class_id, shingles), one row a class -> (a, b, similarity) for all pairs a < b of similar classes."""
     spark = classes.sparkSession
+    # numbers instead of class ids travel with the postings; they are stable, as the classes are written first
+    classes = checkpoint(classes.select("class_id", "shingles"))
+    source = classes.select(F.monotonically_increasing_id().alias("k"), "shingles", "class_id")
     shared = spark.sparkContext.broadcast(_shingle_counts(classes))  # fixed size: 16 MB
 
     def prefixes(with_sketch: bool):
@@ -106,24 +109,24 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
                     continue
                 who = np.concatenate(owners) if owners else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids, pa.binary()).take(pa.array(who)), pa.array(sizes, pa.int32()).take(pa.array(who)), pa.array(sketches, pa.binary()).take(pa.array(who))],
-                    names=["shingle", "class_id", "size", "sketch"],
+                    [pa.array(key), pa.array(ids, pa.int64()).take(pa.array(who)), pa.array(sizes, pa.int32()).take(pa.array(who)), pa.array(sketches, pa.binary()).take(pa.array(who))],
+                    names=["shingle", "k", "size", "sketch"],
                 )
 
         return run
 
-    source = classes.select("class_id", "shingles")
-    postings = source.mapInArrow(prefixes(True), "shingle bigint, class_id binary, size int, sketch binary")
-    hot = source.mapInArrow(prefixes(False), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
+    slim = source.select("k", "shingles")
+    postings = slim.mapInArrow(prefixes(True), "shingle bigint, k bigint, size int, sketch binary")
+    hot = slim.mapInArrow(prefixes(False), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > block)
     hot = checkpoint(hot.select("shingle", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     if hot.isEmpty():
         postings = postings.withColumns({"lo": F.lit(0), "hi": F.lit(0), "mine": F.lit(0)})
     else:
-        mine = F.pmod(F.xxhash64("class_id"), F.coalesce("blocks", F.lit(1))).cast("int")
+        mine = F.pmod(F.xxhash64("k"), F.coalesce("blocks", F.lit(1))).cast("int")
         postings = (
             postings.join(hot, "shingle", "left").withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-            .select("shingle", "class_id", "size", "sketch", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
+            .select("shingle", "k", "size", "sketch", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine")
         )
     groups = postings.repartition("shingle", "lo", "hi").sortWithinPartitions("shingle", "lo", "hi", "mine")
 
@@ -140,7 +143,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
                 bits = [int.from_bytes(x.as_py(), "big") for x in sketches[a:e]]
                 split = None if lo[a] == hi[a] else int(np.searchsorted(mine[a:e], hi[a]))
                 for i, j in trie.join(bits, sizes[a:e].tolist(), threshold, split):
-                    x, y = ids[a + i].as_py(), ids[a + j].as_py()
+                    x, y = int(ids[a + i]), int(ids[a + j])
                     if x != y:
                         yield (x, y) if x < y else (y, x)
 
@@ -152,7 +155,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
             if not pairs:
                 return None
             x, y = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
         for b in batches:
             if not b.num_rows:
@@ -174,11 +177,18 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
             if out:
                 yield out
 
-    candidates = checkpoint(groups.mapInArrow(tries, "a binary, b binary").distinct())
-    wanted = candidates.select(F.col("a").alias("class_id")).union(candidates.select("b")).distinct()
-    sets = checkpoint(source.join(wanted, "class_id", "left_semi"))
-    left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
+    candidates = checkpoint(groups.mapInArrow(tries, "x bigint, y bigint").distinct())
+    wanted = _marks(candidates)
+    marks = spark.sparkContext.broadcast(wanted)  # fixed size: 1 MB; lets through every number in question and few others
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(marks.value, np.uint8))
+        for b in batches:
+            yield b.filter(pa.array(bits[_place(b.column(0).to_numpy())].astype(bool)))
+
+    sets = checkpoint(source.mapInArrow(marked, "k bigint, shingles binary, class_id binary"))
+    left = sets.select(F.col("k").alias("x"), F.col("shingles").alias("sa"), F.col("class_id").alias("a"))
+    right = sets.select(F.col("k").alias("y"), F.col("shingles").alias("sb"), F.col("class_id").alias("b"))
 
     def verify(a, b, sa, sb):
         out = []
@@ -187,20 +197,49 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
             both = len(np.intersect1d(u, v, assume_unique=True))
             similarity = both / (len(u) + len(v) - both)
             if similarity >= threshold - 1e-12:
-                out.append((x, y, similarity))
+                out.append((min(x, y), max(x, y), similarity))
         return list(zip(*out, strict=True)) or [[]] * 3
 
-    return map_batches(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), verify, "a binary, b binary, similarity double")
+    return map_batches(candidates.join(left, "x").join(right, "y").select("a", "b", "sa", "sb"), verify, "a binary, b binary, similarity double")
+
+
+MARKS = 1 << 23
+
+
+def _place(k: np.ndarray) -> np.ndarray:
+    return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
+
+
+def _marks(candidates: DataFrame) -> bytes:
+    """A bit table of the numbers in candidates, united in two rounds of tasks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, bool)
+        for b in batches:
+            bits[_place(b.column(0).to_numpy())] = True
+            bits[_place(b.column(1).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["blob"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS // 8, np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["blob"])
+
+    parts = max(1, int(candidates.rdd.getNumPartitions() ** 0.5))
+    rows = candidates.select("x", "y").mapInArrow(mark, "blob binary").repartition(parts).mapInArrow(unite, "blob binary").coalesce(1).mapInArrow(unite, "blob binary").collect()
+    return zlib.decompress(rows[0].blob) if rows else bytes(MARKS // 8)
 
 
 def _columns(t: pa.Table) -> list:
     t = t.combine_chunks()
     one = lambda n: t[n].chunk(0) if t[n].num_chunks else pa.array([], t[n].type)
-    return [t["shingle"].to_numpy(), one("class_id"), t["size"].to_numpy(), one("sketch"), t["lo"].to_numpy(), t["hi"].to_numpy(), t["mine"].to_numpy()]
+    return [t["shingle"].to_numpy(), t["k"].to_numpy(), t["size"].to_numpy(), one("sketch"), t["lo"].to_numpy(), t["hi"].to_numpy(), t["mine"].to_numpy()]
 
 
 def _prepared(chunks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    return checkpoint(class_members(chunks)), class_links(checkpoint(class_sets(chunks)), threshold)
+    return checkpoint(class_members(chunks)), class_links(class_sets(chunks), threshold)
 
 
 def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, copies: int = COPIES) -> DataFrame:

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BITS = 256
-_WORDS = BITS // 64
+BITS = 128
 
 
 def join(sketches: list[int], sizes: list[int], threshold: float, split: int | None = None) -> list[tuple[int, int]]:
@@ -61,7 +60,7 @@ def join(sketches: list[int], sizes: list[int], threshold: float, split: int | N
 def sketch(shingles: np.ndarray) -> bytes:
     """Parity sketch of an array of distinct uint32 values."""
     x = shingles.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    parity = np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1
+    parity = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
