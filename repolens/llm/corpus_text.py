@@ -146,6 +146,12 @@ def _add_up(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts).mapInArrow(add, "blob binary").coalesce(1).mapInArrow(add, "blob binary")
 
 
+def _summed(df: DataFrame, parts: int, size: int) -> np.ndarray:
+    """Sum of float64 blobs of `size` numbers; zeros if there are none."""
+    rows = _add_up(df, parts).collect()
+    return np.frombuffer(rows[0].blob, np.float64) if rows else np.zeros(size)
+
+
 class LeakSearch:
     """Latent semantic search of test items in documents.
 
@@ -185,7 +191,7 @@ class LeakSearch:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
         parts = max(1, int(self.encoded.rdd.getNumPartitions() ** 0.5))
-        counts = np.frombuffer(_add_up(self.encoded.mapInArrow(frequencies, "blob binary"), parts).collect()[0].blob, np.float64)
+        counts = _summed(self.encoded.mapInArrow(frequencies, "blob binary"), parts, d + 1)
         self.idf = np.log((1 + counts[d]) / (1 + counts[:d])).astype(np.float32)
         idf, width = self.idf, min(d, rank + 8)
         start = np.random.default_rng(seed).standard_normal((d, width)).astype(np.float32)
@@ -197,8 +203,7 @@ class LeakSearch:
                 total += m.transposed_times(m.times(start), d)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["blob"])
 
-        blob = _add_up(self.encoded.mapInArrow(sketch, "blob binary"), parts).collect()[0].blob
-        q, r = np.linalg.qr(np.frombuffer(blob, np.float64).reshape(d, width))
+        q, r = np.linalg.qr(_summed(self.encoded.mapInArrow(sketch, "blob binary"), parts, d * width).reshape(d, width))
         lead = np.argsort(-np.abs(np.diag(r)), kind="stable")[: min(rank, d)]
         self.basis = np.ascontiguousarray(q[:, lead], np.float32)
 
