@@ -51,3 +51,9 @@ def map_batches(df: DataFrame, batch: Callable[..., Iterable[tuple]], schema: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, if its source gives fewer (one small file, say); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from ..functions.batches import map_rows
+from ..functions.batches import map_rows, spread
 from ..functions.text import LANGUAGES
 
 SCHEMA = (
@@ -32,8 +32,9 @@ _HEADS = {
     "class": re.compile(rf"^[ \t]*(?:[\w@]+[ \t]+)*?(?:class|interface|struct|enum|object|trait|record)[ \t]+({_NAME})[^;{{}}()]*(?:\([^{{}};]*\)[^;{{}}]*)?\{{", re.M),
     "go_type": re.compile(rf"^type[ \t]+({_NAME})[ \t]+(?:struct|interface)[ \t]*\{{", re.M),
     "keyword": re.compile(rf"^[ \t]*(?:(?:export|default|async|public|private|protected|internal|static|final|override|suspend|inline|open|abstract)[ \t]+)*(?:function\*?|fun|func)[ \t]+(?:<[^>]*>[ \t]*)?(?:\((?P<recv>[^)]*)\)[ \t]*)?(?P<name>{_NAME})[ \t]*(?:<[^>()]*>)?\(", re.M),
-    "typed": re.compile(rf"^[ \t]*(?:[\w<>\[\],.?:*&~]+[ \t*&]+)+(?P<name>{_NAME})[ \t]*\((?=[^;{{}}]*\)[^;{{}}=]*\{{)", re.M),
-    "method": re.compile(rf"^[ \t]+(?:(?:async|static|get|set|public|private|protected|readonly)[ \t]+)*(?P<name>{_NAME})[ \t]*(?:<[^>()]*>)?\((?=[^;{{}}]*\)[^;{{}}=]*\{{)", re.M),
+    # a name before a bracket; what stands before it on the line is judged afterwards
+    "typed": re.compile(rf"^(?P<before>[^\n(){{}};=]*[\s*&>])(?P<name>{_NAME})[ \t]*\(", re.M),
+    "method": re.compile(rf"^(?P<before>[ \t]+(?:(?:async|static|get|set|public|private|protected|readonly)[ \t]+)*)(?P<name>{_NAME})[ \t]*(?:<[^>()\n]*>)?\(", re.M),
 }
 _CALL = re.compile(rf"({_NAME})[ \t]*\(")
 _IDENTIFIER = re.compile(r"\b[a-zA-Z_]\w*\b")
@@ -52,6 +53,12 @@ def _closing(code: str, i: int, pair: str) -> int:
     return -1
 
 
+def _statements(node: ast.AST) -> Iterator[ast.AST]:
+    """Statements below a node, without going into expressions."""
+    for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+        yield from getattr(node, part, ())
+
+
 def _python(text: str) -> Iterator[tuple]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
@@ -59,7 +66,7 @@ def _python(text: str) -> Iterator[tuple]:
     lines = text.split("\n")
 
     def down(node: ast.AST, parent: str | None) -> Iterator[tuple]:
-        for child in ast.iter_child_nodes(node):
+        for child in _statements(node):
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
                 a = child.args
                 params = [x.arg for x in (*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else []))]
@@ -95,19 +102,17 @@ def _braces(text: str, language: str) -> Iterator[tuple]:
         for m in _HEADS[kind].finditer(code):
             name = m["name"]
             first = m[0].split()[0]
-            if name in _NOT_CALLS or first in ("return", "else", "new", "throw", "case", "await", "yield"):
+            if name in _NOT_CALLS or first in ("return", "else", "new", "throw", "case", "await", "yield") or kind == "typed" and not m["before"].strip():
                 continue
             close = _closing(code, m.end() - 1, "()")
             brace = code.find("{", close) if close > 0 else -1
-            if brace < 0 or ";" in code[close:brace] or (kind == "keyword" and "\n\n" in code[close:brace]):
+            if brace < 0 or any(c in code[close + 1 : brace] for c in ";=})") and kind != "keyword" or ";" in code[close:brace] or (kind == "keyword" and "\n\n" in code[close:brace]):
                 continue
             end = _closing(code, brace, "{}")
             if end < 0:
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             owner = next((n for a, e, n in classes if a <= start and end <= e), None)
-            if kind == "keyword" and m["recv"]:
-                owner = (_IDENTIFIER.findall(m["recv"]) or [None])[-1]
             if kind == "method" and not owner:
                 continue
             found.append((start, end, name, "method" if owner else "function", owner, text[m.end() : close]))
@@ -143,4 +148,4 @@ def extract(files: DataFrame) -> DataFrame:
         for n, kind, doc, a, e, parent, calls, params, body in symbols_of(content, spoken):
             yield project, path, spoken, n, f"{parent}.{n}" if parent else n, kind, doc, a, e, parent, calls, params, body
 
-    return map_rows(files.select("project_id", "file_path", "language", "content"), row, SCHEMA).distinct()
+    return map_rows(spread(files.select("project_id", "file_path", "language", "content")), row, SCHEMA).distinct()
