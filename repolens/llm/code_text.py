@@ -105,7 +105,7 @@ def _checked(files: DataFrame) -> DataFrame:
     def row(file_id, project_id, path, content):
         spoken = language_of(path)
         if spoken:
-            yield file_id, project_id, spoken, syntax.problem(content, spoken)
+            yield file_id, project_id, spoken, syntax.problem(content, spoken, path.lower().endswith(".kts"))
 
     return map_rows(files.select("file_id", "project_id", "file_path", "content"), row, "file_id bigint, project_id string, language string, problem string")
 

@@ -4,7 +4,7 @@
 unbalanced brackets, a premature end, a merge-conflict or template marker, stray binary characters, tokens that
 can't follow each other (as in another language's text), or broken indentation. It errs on the side of "valid":
 rules cover what no valid text contains. For Python, a text with a reason is put to the built-in parser as the
-exact last word.
+exact last word. ``script`` tells a Kotlin script (``.kts``), where statements may stand at the outermost level.
 """
 
 from __future__ import annotations
@@ -146,6 +146,14 @@ def _clash(a: str, b: str, language: str) -> bool:
         if a in ("|", "-", "+", "==", "=", "/", "%", "^", "<=", ">=") and language == "cpp":  # operator names, macros
             return b in (";", "EOF") and a != "="
         return not (a == "=" and language in ("c_sharp", "kotlin", "go"))
+    if ":=" in (a, b) and language not in ("go", "python"):
+        return True
+    if "::" in (a, b) and language in ("c", "go", "javascript", "typescript"):
+        return a != "[" and b != "["
+    if b == "import" and language == "kotlin" and a not in ("\n", ";", "}", "package"):
+        return True
+    if a == "import" and b in ("{", "*", "S") and language in ("kotlin", "java", "c_sharp", "c"):
+        return True
     if a == "(" and b == "," or a == "," and (b == ";" or b == "EOF" and language != "python"):
         return True
     if a == "," and b == ")" and language in ("java", "c", "c_sharp"):
@@ -215,14 +223,66 @@ def _neighbours(kinds: list[str], language: str) -> str | None:
     return None
 
 
-def problem(text: str | None, language: str) -> str | None:
+_INNERMOST = re.compile(r"\([^(){}\[\]]*\)|\{[^(){}\[\]]*\}|\[[^(){}\[\]]*\]")
+_SHUT = {"(": "\x01", "{": "\x02", "[": "\x03"}
+# Words that open a declaration at the outermost level, or that can't.
+_OPENS = {
+    "go": frozenset("package import const var type func".split()),
+    "java": _FIRST_JAVA,
+    "kotlin": frozenset(
+        "package import fun val var class interface object typealias enum data sealed abstract open annotation inline private public internal protected"
+        " suspend operator infix const tailrec external expect actual value override lateinit final inner companion quoted by get set where".split()
+    ),
+}
+_NEVER_OPENS = {
+    "c": frozenset("public private protected class namespace using import package function let fun val export def template interface internal func from elif".split()),
+    "cpp": frozenset("public private protected package function let fun val interface def internal func from elif".split()),
+    "c_sharp": frozenset("package import function let fun val def func from elif export".split()),
+}
+_START_OF = re.compile(r"(?:^|[;\x02])\s*([A-Za-z_@#$]\w*|\S)")
+_LINE_START = re.compile(r"^([A-Za-z_$]\w*|[^\s])", re.M)
+_TYPED_SCRIPT = re.compile(r"\b(?:let|const|var)\s+[\w$]+\s*:|\(\s*[A-Za-z_$][\w$]*\s*\??:\s*[\w$]|\)\s*:\s*[\w$.<>\[\]| ]+\{|^\s*(?:export\s+)?(?:interface\s+\w+[^;(){}]*\{|type\s+\w+\s*(?:<[^>]*>)?\s*=|enum\s+\w+\s*\{)|^\s*(?:public|private|protected|readonly)\s+\w+", re.M)
+_PYTHONIC = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:def[ \t]+\w+[ \t]*\(.*|class[ \t]+\w+[^{;]*|elif\b.*|if\b[^{]*|for\b[^{]*|while\b[^{]*|else|try)(?<!default):[ \t]*$", re.M)
+
+
+def _outermost(code: str) -> str:
+    """The code with everything inside brackets folded away."""
+    while True:
+        code, n = _INNERMOST.subn(lambda m: _SHUT[m[0][0]], code)
+        if not n:
+            return code
+
+
+def _foreign(code: str, language: str, script: bool) -> str | None:
+    """Signs of another language: words that can't open a declaration, typed parameters in plain script, Python's blocks."""
+    if language in ("go", "java") or language == "kotlin" and not script:
+        starts = (_LINE_START if language != "java" else _START_OF).findall(_outermost(code))
+        for w in starts:
+            if w not in _OPENS[language] and not (w in ("@", "\x01", "\x02", "\x03", "}", ")", "]", ";") or w.startswith("@")) and (w[0].isalpha() or w[0] in "_#<-*{"):
+                return w + " opens no declaration"
+    elif language in _NEVER_OPENS:
+        for w in set(_START_OF.findall(_outermost(code))) & _NEVER_OPENS[language]:
+            return w + " opens no declaration"
+    if language == "javascript" and _TYPED_SCRIPT.search(code):
+        for m in _TYPED_SCRIPT.finditer(code):
+            before = code[max(0, m.start() - 200) : m.start()].rsplit("\n", 1)[-1]
+            if not (m[0].lstrip().startswith((")", "(")) and ("?" in before or "case " in before)):
+                return "typed script"
+    if language not in ("python", "javascript", "typescript") and _PYTHONIC.search(code):
+        for m in _PYTHONIC.finditer(code):
+            if m[0].lstrip().startswith(("def", "elif", "class")) and not (language in ("kotlin", "cpp", "c_sharp") and m[0].lstrip().startswith("class")):
+                return "another language"
+    return None
+
+
+def problem(text: str | None, language: str, script: bool = False) -> str | None:
     """Why the text isn't valid in the language, or None if nothing speaks against it. Null, blank and comment-only texts are valid."""
     if not text or not text.strip():
         return None
     text = text.removeprefix("﻿")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    found = _problem(text, language)
+    found = _problem(text, language, script)
     if found and language == "python":
         try:
             with warnings.catch_warnings():
@@ -236,7 +296,7 @@ def problem(text: str | None, language: str) -> str | None:
     return found
 
 
-def _problem(text: str, language: str) -> str | None:
+def _problem(text: str, language: str, script: bool = False) -> str | None:
     s = scan(text, language)
     code = s.code
     if s.error == "no code":
@@ -303,6 +363,8 @@ def _problem(text: str, language: str) -> str | None:
         return "stray mark"
     if found := _neighbours([*kinds, "EOF"], language):
         return found
+    if found := _foreign(code, language, script):
+        return found
     if language in ("javascript", "typescript"):
         if re.search(r"\bfunction\b\s*\*?\s*[\w$]+\s*\([^()]*\)\s*$", code) and language == "javascript":
             return "premature end"
@@ -320,6 +382,8 @@ def _problem(text: str, language: str) -> str | None:
                 i = kinds.index(word, i + 1)
             except ValueError:
                 break
+    if language == "kotlin" and re.search(r"(?:^|[({,;=\n] )N N (?:[=;,)]|\n)", " ".join(kinds)):
+        return "N after N"
     most = _NAMES[language]
     run = "N " * most
     flat = " ".join(kinds) + " "
