@@ -682,3 +682,121 @@ def r11_sessions(spark: SparkSession, d: str) -> DataFrame:
 def r9_answer_stream(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("thread_id"), F.col("text").alias("answer"))
     return R.answer_events(a).select("thread_id", F.col("seq").cast("bigint"), "kind", F.md5("text").alias("text_md5"))
+
+
+# --- further operators ----------------------------------------------------------------------------------------------
+@query("SELECT DISTINCT chunk_id, contains(replace(file_path, '\\\\', '/'), 'core/') OR symbol_name = 'main' AS rel FROM code_repo")
+def f9_relevance(spark: SparkSession, d: str) -> DataFrame:
+    rel = A.relevant(F.col("file_path"), F.col("symbol_name"), F.array(F.lit("core/"), F.lit("")), F.array(F.lit("main")))
+    return table(spark, d, "code_repo").select("chunk_id", rel.alias("rel")).distinct()
+
+
+@query(f"SELECT count(*) FILTER (length({strip_sql('docstring')}) >= 10) AS symbol_docs, count(*) FILTER (length({strip_sql('docstring')}) >= 20) AS module_docs, count(*) FILTER (length({strip_sql('docstring')}) > 20) AS overviews FROM symbols")
+def f10_quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    n = F.length(X.strip("docstring"))
+    return table(spark, d, "symbols").agg(F.count_if(n >= 10).alias("symbol_docs"), F.count_if(n >= 20).alias("module_docs"), F.count_if(n > 20).alias("overviews"))
+
+
+@query("SELECT DISTINCT symbol_id, CASE WHEN length(body) > 400 THEN substr(body, 1, 400) || '[cut]' ELSE body END AS body, floor(length(body) / 4)::BIGINT AS tokens FROM symbols")
+def f14_token_budget(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "symbols").select("symbol_id", X.cut("body", 400, "[cut]").alias("body"), F.floor(F.length("body") / 4).alias("tokens")).distinct()
+
+
+@query(COMPS + ", m AS (SELECT DISTINCT project_id, split_part(qualified_name, '.', 1) AS module, qualified_name AS component_id FROM imports WHERE qualified_name IS NOT NULL) SELECT DISTINCT m.project_id, m.module, m.component_id FROM m JOIN c USING (project_id, component_id)")
+def j9_valid_members(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "imports").filter("qualified_name IS NOT NULL").select("project_id", F.substring_index("qualified_name", ".", 1).alias("module"), F.col("qualified_name").alias("component_id")).distinct()
+    return M.valid_members(m, J.components(table(spark, d, "symbols")))
+
+
+@query(AFFECTED + " SELECT project_id, module FROM direct")
+def j7_changed_modules(spark: SparkSession, d: str) -> DataFrame:
+    _, members, comps = _tree(spark, d)
+    changed = R.changed_files(table(spark, d, "commits"), ["project_id"]).filter("change = 'changed'")
+    hit = comps.join(changed, ["project_id", "file_path"], "left_semi").select("project_id", "component_id").distinct()
+    return members.join(hit, ["project_id", "component_id"], "left_semi").filter("module <> ''").select("project_id", "module").distinct()
+
+
+@query("""WITH q AS (SELECT item_id, tags, query FROM eval_items), a AS (SELECT item_id, contains(lower(query), 'explain') AND NOT contains(lower(query), 'suppose') AS passed FROM q) SELECT item_id AS query_id, passed FROM a""")
+def j13_assertions(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("query").alias("answer"), F.array(F.lit("Explain")).alias("must_contain"), F.array(F.lit("suppose")).alias("must_not_contain"),
+                                             F.lit(1.0).alias("confidence"), F.lit(0.5).alias("min_confidence"))
+    return A.assertions(q)
+
+
+@query("SELECT project_id, file_path, count(DISTINCT symbol_id) AS members, md5(string_agg(name, ',' ORDER BY start_line, name)) AS names_md5 FROM (SELECT DISTINCT project_id, file_path, symbol_id, start_line, name FROM symbols) GROUP BY 1, 2")
+def a15_code_by_file(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "symbols").select("project_id", "file_path", "symbol_id", "start_line", "name").distinct()
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "name"))), lambda x: x["name"]), ",")
+    return s.groupBy("project_id", "file_path").agg(F.count("*").alias("members"), F.md5(names).alias("names_md5"))
+
+
+FENCED = "regexp_extract_all(text, '(?s)```(\\w+)\\s*\\n(.*?)```', 1)"
+
+
+@query(f"SELECT doc_id, len({FENCED}) AS blocks, array_to_string(list_sort(list_distinct({FENCED})), ',') AS kinds FROM documents WHERE text IS NOT NULL")
+def a17_fenced_blocks(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.regexp_extract_all("text", F.lit(r"(?s)```(\w+)\s*\n(.*?)```"), F.lit(1))
+    return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(kinds).alias("blocks"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))
+
+
+@query("SELECT DISTINCT event_type FROM events ORDER BY 1")
+def a18_unique_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_type").distinct().orderBy("event_type")
+
+
+@query("SELECT DISTINCT symbol_id, array_to_string(list_filter(params, lambda p: p NOT IN ('self', 'cls', 'def', 'class', 'int', 'str', 'float', 'bool', 'None')), ',') AS params FROM symbols WHERE params IS NOT NULL")
+def u7_parameters(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.filter("params", lambda p: ~p.isin(sorted(S.NOT_PARAMS)))
+    return table(spark, d, "symbols").filter("params IS NOT NULL").select("symbol_id", F.array_join(kept, ",").alias("params")).distinct()
+
+
+@query("SELECT DISTINCT chunk_id, concat_ws(',', CASE WHEN repo_url IS NULL THEN 'repo_url' END, CASE WHEN branch IS NULL THEN 'branch' END, CASE WHEN commit_sha IS NULL THEN 'commit_sha' END, CASE WHEN content_hash IS NULL THEN 'content_hash' END) AS missing FROM code_repo")
+def u4_missing_metadata(spark: SparkSession, d: str) -> DataFrame:
+    wanted = ["repo_url", "branch", "commit_sha", "content_hash"]
+    present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), c) for c in wanted]))
+    return table(spark, d, "code_repo").select("chunk_id", F.array_join(F.array_except(F.array(*[F.lit(c) for c in wanted]), present), ",").alias("missing")).distinct()
+
+
+@query("SELECT project_id, unnest(list_concat(coalesce(added, []), coalesce(modified, []))) AS file_path FROM commits UNION SELECT project_id, unnest(removed) FROM commits")
+def u2_touched_files(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "commits")
+    changed = c.select("project_id", F.explode(F.concat("added", "modified")).alias("file_path"))
+    return changed.union(c.select("project_id", F.explode("removed"))).distinct()
+
+
+@query(f"""WITH t AS (SELECT DISTINCT project_id, string_split({DIR.format(c='file_path')}, '/') AS p FROM symbols WHERE {DIR.format(c='file_path')} <> ''), k AS (SELECT project_id, p[1] AS parent, list_sort(list(DISTINCT p[2])) AS kids FROM t WHERE len(p) > 1 GROUP BY 1, 2)
+    SELECT project_id, parent, 'graph TD' || chr(10) || '    ' || regexp_replace(parent, '[^A-Za-z0-9_]', '_', 'g') || '["' || parent || '"]' || chr(10)
+    || array_to_string(list_transform(kids, lambda c: '    ' || regexp_replace(parent, '[^A-Za-z0-9_]', '_', 'g') || ' --> ' || regexp_replace(c, '[^A-Za-z0-9_]', '_', 'g') || '["' || c || '"]'), chr(10)) AS chart FROM k""")
+def g12_flowcharts(spark: SparkSession, d: str) -> DataFrame:
+    p = _tree(spark, d)[0].select("project_id", F.split("module", "/").alias("p")).filter(F.size("p") > 1)
+    kids = p.groupBy("project_id", F.col("p")[0].alias("parent")).agg(F.array_sort(F.collect_set(F.col("p")[1])).alias("kids"))
+    return kids.select("project_id", "parent", M.flowchart(F.col("parent"), F.col("kids")).alias("chart"))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part of a line -> part of the order's next line."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    line = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return line.filter("dst IS NOT NULL AND src <> dst").distinct()
+
+
+PARTS = "WITH e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"
+
+
+@query(PARTS + " SELECT src AS node, count(*) AS out_degree FROM e GROUP BY 1")
+def g1_part_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _parts(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
+
+
+@query()
+def g1_part_components(spark: SparkSession, d: str) -> DataFrame:
+    return G.connected_components(_parts(spark, d))
+
+
+@query(PARTS + """, s AS (SELECT DISTINCT src AS start FROM e WHERE src % 50 = 0), h1 AS (SELECT start, dst AS node FROM s JOIN e ON src = start), h2 AS (SELECT DISTINCT h.start, e.dst AS node FROM h1 h JOIN e ON e.src = h.node WHERE e.dst <> h.start AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.start = h.start AND x.node = e.dst))
+    SELECT start, node, 1 AS distance FROM h1 UNION ALL SELECT start, node, 2 FROM h2""")
+def g6_part_hops(spark: SparkSession, d: str) -> DataFrame:
+    e = _parts(spark, d)
+    return G.neighbours(e, e.filter("src % 50 = 0").select(F.col("src").alias("node")).distinct(), 2)
