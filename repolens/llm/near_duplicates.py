@@ -11,12 +11,13 @@ last, so a passage that a third of all texts hold roots no trie unless these tex
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import map_batches
@@ -27,7 +28,7 @@ from . import trie
 THRESHOLD, LEAST, N = 0.6, 40, 3
 TABLE = 1 << 22  # counters of shingles, whatever the number of shingles
 BLOCK = 512  # members of a trie that one task joins
-COPIES = 64  # classes of up to so many equal texts come out as all their pairs, larger ones as a star around one of them
+COPIES = 64  # up to so many identical texts come out as all their pairs, more as stars around two of them
 
 
 def class_sets(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
@@ -42,14 +43,18 @@ def class_sets(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
 
 
 def class_members(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFrame:
-    """(chunk_id, project_id, file_path, class_id) of the chunks with at least `least` words."""
+    """(chunk_id, project_id, file_path, class_id, text_id) of the chunks with at least `least` words.
+
+    text_id is a hash of the text as it stands; a class may hold several texts, which differ in case, blanks and signs.
+    """
 
     def batch(ids, projects, paths, contents):
-        out = [(i, p, f, c[0]) for i, p, f, c in zip(ids, projects, paths, trie.shingled(contents, n, least, sets=False), strict=True) if c]
-        return list(zip(*out, strict=True)) or [[]] * 4
+        found = zip(ids, projects, paths, contents, trie.shingled(contents, n, least, sets=False), strict=True)
+        out = [(i, p, f, c[0], hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()) for i, p, f, t, c in found if c]
+        return list(zip(*out, strict=True)) or [[]] * 5
 
     rows = chunks.select("chunk_id", "project_id", "file_path", "content")
-    return map_batches(rows, batch, "chunk_id string, project_id string, file_path string, class_id binary").distinct()
+    return map_batches(rows, batch, "chunk_id string, project_id string, file_path string, class_id binary, text_id binary").distinct()
 
 
 def _shingle_counts(classes: DataFrame) -> np.ndarray:
@@ -245,21 +250,34 @@ def _prepared(chunks: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame
 def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, copies: int = COPIES) -> DataFrame:
     """(chunk_id_a, chunk_id_b), a < b, of chunks of different files whose similarity reaches the threshold.
 
-    Equal contents are pairs too. Of a class with more than `copies` equal texts each is paired with the class's first
-    text, and only that one with other classes; near_duplicate_groups gives every text's class.
+    Equal contents are pairs too. Of a text with more than `copies` identical chunks two stand for all: the first, and the
+    first in another file. Every other copy is paired with one of them that lies in another file than itself, and they
+    are paired with all similar texts, so each of these finds one in another file. Where all copies lie in one file, none
+    can stand for them elsewhere, and all are kept. Texts that differ in case, blanks or signs alone are different texts.
     """
     members, links = _prepared(chunks, threshold)
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("rep"))
-    known = members.join(sizes, "class_id").select("chunk_id", F.struct("project_id", "file_path").alias("file"), "class_id", "n", "rep")
-    short = known.filter((F.col("n") <= copies) | (F.col("chunk_id") == F.col("rep")))
-    one = short.select(F.col("class_id").alias("a"), F.col("chunk_id").alias("x"), F.col("file").alias("fx"))
-    two = short.select(F.col("class_id").alias("b"), F.col("chunk_id").alias("y"), F.col("file").alias("fy"))
+    known = members.select("chunk_id", F.struct("project_id", "file_path").alias("file"), "class_id", "text_id")
+    large = checkpoint(known.groupBy("text_id").agg(F.count("*").alias("n")).filter(F.col("n") > copies).select("text_id"))
+    kept, stars = known, None
+    if not large.isEmpty():
+        copied = known.join(large, "text_id")
+        rank = F.row_number().over(Window.partitionBy("text_id").orderBy("chunk_id", "file"))
+        two = copied.groupBy("text_id", "file").agg(F.min("chunk_id").alias("chunk_id")).withColumn("rank", rank).filter("rank <= 2")
+        one = lambda k: F.min(F.when(F.col("rank") == k, F.struct("chunk_id", "file")))
+        copied = checkpoint(copied.join(two.groupBy("text_id").agg(one(1).alias("first"), one(2).alias("second")), "text_id"))
+        stands = F.col("second").isNull() | F.struct("chunk_id", "file").isin(F.col("first"), F.col("second"))
+        kept = known.join(large, "text_id", "left_anti").unionByName(copied.filter(stands).select(known.columns))
+        centre = F.when(F.col("file") != F.col("first.file"), F.col("first")).otherwise(F.col("second"))
+        stars = copied.filter(~stands).select(F.col("chunk_id").alias("x"), centre["chunk_id"].alias("y"), F.col("file").alias("fx"), centre["file"].alias("fy"))
+    one = kept.select(F.col("class_id").alias("a"), F.col("chunk_id").alias("x"), F.col("file").alias("fx"))
+    two = kept.select(F.col("class_id").alias("b"), F.col("chunk_id").alias("y"), F.col("file").alias("fy"))
     between = links.join(one, "a").join(two, "b").select("x", "y", "fx", "fy")
-    several = known.filter(F.col("n") > 1)
-    heads = several.filter((F.col("n") <= copies) | (F.col("chunk_id") == F.col("rep"))).select("class_id", F.col("chunk_id").alias("x"), F.col("file").alias("fx"))
-    within = heads.join(several.select("class_id", F.col("chunk_id").alias("y"), F.col("file").alias("fy")), "class_id").select("x", "y", "fx", "fy")
+    within = one.join(two, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", "fx", "fy")
+    pairs = between.unionByName(within)
+    if stars is not None:
+        pairs = pairs.unionByName(stars)
     return (
-        between.unionByName(within).filter((F.col("fx") != F.col("fy")) & (F.col("x") != F.col("y")))
+        pairs.filter((F.col("fx") != F.col("fy")) & (F.col("x") != F.col("y")))
         .select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
     )
 
@@ -268,7 +286,7 @@ def near_duplicate_groups(chunks: DataFrame, threshold: float = THRESHOLD) -> Da
     """One row a chunk with at least 40 words: (chunk_id, class_id, links, group_id); links counts similar other classes,
     group_id is the smallest class id that chains of links reach."""
     members, links = _prepared(chunks, threshold)
-    links = checkpoint(links)
+    members, links = members.select("chunk_id", "project_id", "file_path", "class_id").distinct(), checkpoint(links)
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
     counts = both.groupBy("a").agg(F.count("*").alias("links"))
     hexed = links.select(F.lower(F.hex("a")).alias("src"), F.lower(F.hex("b")).alias("dst"))

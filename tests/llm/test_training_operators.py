@@ -122,6 +122,27 @@ def test_large_groups_of_copies_stay_connected(spark):
     assert {r.group_id for r in N.near_duplicate_groups(df).collect()} == {r.class_id for r in N.near_duplicate_groups(df).collect()}
 
 
+def test_large_groups_of_copies_lose_no_link(spark):
+    """c000 to c004 lie in one file, as do near copies; other texts have all their copies in one file or differ in signs only."""
+    words = [f"w{i}" for i in range(60)]
+    text, near, third = " ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words[:-2], "more", "words"])
+    rows = [(f"c{i:03}", "p", "f0" if i < 5 else f"f{i}", text) for i in range(90)]
+    rows += [("near", "p", "f0", near), ("sign", "p", "f0", text.upper() + "."), ("sign2", "p", "f6", text.upper() + ".")]
+    rows += [(f"d{i:03}", "p", "g", third) for i in range(70)]
+    df = spark.createDataFrame(rows, "chunk_id string, project_id string, file_path string, content string").repartition(3)
+    pairs = {tuple(r) for r in N.similar_pairs(df).collect()}
+    assert pairs <= brute(rows)
+    assert {(f"c{i:03}", "c005") for i in range(5)} <= pairs and {("c000", f"c{i:03}") for i in range(5, 90)} <= pairs
+    assert {("c005", "near"), ("c005", "sign"), ("c000", "sign2"), ("sign", "sign2"), ("near", "sign2")} <= pairs
+    of = {r[0]: (r[2], r[3]) for r in rows}
+    for c, (f, t) in of.items():  # each chunk has a pair wherever it has one at all; each text one with every similar text in another file
+        assert any(c in p for p in pairs)
+        if t in (near, text.upper() + ".") or c[0] == "d":
+            for u in {text, near, third, text.upper() + "."} - {t}:
+                if any(of[x][0] != f and of[x][1] == u for x in of):
+                    assert any(c in p and of[p[p[0] == c]][1] == u for p in pairs), (c, u)
+
+
 def test_packing_assigns_everything(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 1, 30, 40, 60, 100, 250, 100])) for i in range(500)] + [(1000, None)]
