@@ -121,6 +121,7 @@ def containers(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER)
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
 RUN, PASSAGE, RANK, COSINE = 13, 64, 48, 0.3
+PARAPHRASE_COSINE = 0.6  # of paraphrases only; exact runs always need COSINE
 
 
 def _eval_items(items: DataFrame, run: int, passage: int) -> leaks.Items:
@@ -207,12 +208,13 @@ class LeakSearch:
         lead = np.argsort(-np.abs(np.diag(r)), kind="stable")[: min(rank, d)]
         self.basis = np.ascontiguousarray(q[:, lead], np.float32)
 
-    def search(self, cosine: float = COSINE, paraphrase: float | None = None) -> DataFrame:
+    def search(self, cosine: float = COSINE, paraphrase: float | None = None, paraphrase_cosine: float = PARAPHRASE_COSINE) -> DataFrame:
         """(doc_id, item_id, run, share, answer) for passages whose latent cosine with a window of an item reaches `cosine`.
 
         run: the passage holds `run` consecutive words of the item. With `paraphrase`, passages that hold at least this
         share of the item's words in order (longest common subsequence) and most of its rarest words - which stand for
-        an answer, as items have none - are reported too. Without it only exact runs are.
+        an answer, as items have none - are reported too, if the cosine reaches `paraphrase_cosine` as well. Without it
+        only exact runs are; they are the same ones either way.
         """
         found, shared, idf, basis = self.items, self.shared, self.idf, self.basis
         schema = "doc_id bigint, item_id bigint, run boolean, share double, answer double"
@@ -247,7 +249,7 @@ class LeakSearch:
                         out.update((docs[i], it.items[k][0], True, None, None) for k in hit)
                     if paraphrase is not None:
                         have = set(p.tolist())
-                        for k in near_items - hit:
+                        for k in set(owner[near[i] >= max(cosine, paraphrase_cosine)].tolist()) - hit:
                             ids = it.items[k][1]
                             answer = len(rare[k] & have) / max(1, len(rare[k]))
                             if answer >= 0.6 and (n := leaks.longest_common(ids, p)) >= max(run, paraphrase * min(len(ids), len(p))):
@@ -286,7 +288,7 @@ def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 def leak_report(documents: DataFrame, items: DataFrame, paraphrase: float = 0.6) -> DataFrame:
     """Exact and paraphrased leaks: (doc_id, item_id, exact, share, answer), one row a pair."""
-    found = LeakSearch(documents, items).search(cosine=0.6, paraphrase=paraphrase)
+    found = LeakSearch(documents, items).search(paraphrase=paraphrase)
     return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("exact"), F.max("share").alias("share"), F.max("answer").alias("answer"))
 
 

@@ -180,6 +180,24 @@ def test_leaks_against_brute_force(spark, data):
     assert T.leaked(docs.limit(0), items).count() == T.leaked(docs, items.limit(0)).count() == 0
 
 
+def test_report_holds_every_exact_leak(spark):
+    """Passages full of pieces of four other items, too short to count: near the item they leak, but not by a cosine of 0.6."""
+    rng = random.Random(5)
+    queries = {k: [f"w{k}x{i}" for i in range(30)] for k in range(40)}
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in queries.items()], "item_id bigint, query string")
+    rows = []
+    for i in range(200):
+        k, *others = rng.sample(range(40), 5)
+        pieces = [queries[k][5:18], *(queries[o][5:17] for o in others)]
+        rng.shuffle(pieces)
+        rows.append((i, " ".join(w for p in pieces for w in p)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {tuple(r) for r in T.leaked(docs, items).collect()}
+    strict = {(r.doc_id, r.item_id) for r in T.LeakSearch(docs, items).search(cosine=0.6).collect()}
+    assert len(found - strict) > 5  # a threshold of 0.6 does lose exact runs here
+    assert {(r.doc_id, r.item_id) for r in T.leak_report(docs, items).filter("exact").collect()} == found
+
+
 def test_languages_on_odd_rows(spark):
     model = language.train([("en", "The service drops the old copy when the new one arrives too late. We saw that the job was done."), ("de", "Der Dienst verwirft die alte Kopie, sobald die neue zu spät eintrifft. Wir haben gesehen, dass es fertig war.")] * 5)
     rows = [(1, None, None), (2, "", "en"), (3, "The service drops the new copy when the old one arrives.", "de"), (3, "The service drops the new copy when the old one arrives.", "de"), (4, "Der Dienst verwirft die neue Kopie, sobald die alte eintrifft.", "DE-at"), (5, "1 2 3", None)]
