@@ -56,9 +56,6 @@ def _places(text: str):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     for end, (kind, size) in _AUTOMATON.iter(low):
         i = end - size + 1
-        if kind == "key" and end + 1 < len(low) and low[end + 1] in " ,)(;\r\n+-*/%" and low[end + 1] != " ":
-            if low[end + 1] not in "(,":
-                continue
         if kind == "shape" and low[i] == "_":
             k = i
             while k > 0 and i - k < 6 and "a" <= text[k - 1] <= "z":

@@ -220,3 +220,11 @@ def test_language_model_on_held_out_sentences():
 
 def test_language_labels():
     assert [language.label(x) for x in ("EN", "en_GB", "pt-BR", "German", "zho", "und", "??", None, "")] == ["en", "en", "pt", "de", "zh", None, None, None, None]
+
+
+@pytest.mark.parametrize("name", ["client-secret-prod: ", "api-key-primary: ", "pwd-old=", "spec:\n  db-password-backup: "])
+def test_secrets_under_kebab_names_with_suffixes(name):
+    text = name + "u5bqtrfpdhk4aj5F_x"
+    assert secrets.lines(text, config=True) == [text.count("\n") + 1]
+    assert secrets.mask(text, config=True) == name + "*" * 18
+    assert secrets.lines(name.replace(":", "").replace("=", "") + "\n", config=True) == []
