@@ -71,7 +71,7 @@ def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int,
                     continue
             # the last code before it must be the colon of a header
             j = a - len(before) + len(before.rstrip(" \trRuU"))
-            j = len(text[:j].rstrip()) if j == starts[line - 1] and j < 200 else _code_end(text, j, ends, starts)
+            j = _code_end(text, j, ends, starts)
             if j <= 0 or text[j - 1] != ":":
                 continue
             h = bisect_right(headers, j) - 1

@@ -228,3 +228,11 @@ def test_secrets_under_kebab_names_with_suffixes(name):
     assert secrets.lines(text, config=True) == [text.count("\n") + 1]
     assert secrets.mask(text, config=True) == name + "*" * 18
     assert secrets.lines(name.replace(":", "").replace("=", "") + "\n", config=True) == []
+
+
+@pytest.mark.parametrize("before", ["", "x = 1\n" * 100])
+@pytest.mark.parametrize("header", ["def f(x):  # noqa\n", "def f(x):\n    # a remark\n", "def f(x):  # noqa\n\n    # a remark\n    # another\n"])
+def test_docstrings_behind_comments_at_any_place(before, header):
+    text = before + header + '    """Moves every ticket."""\n    return x\n'
+    found = [(s[2], s[4]) for s in docs.comment_spans(text, "python") if s[3] == "docstring"]
+    assert found == [(before.count("\n") + 1, "Moves every ticket.")]
