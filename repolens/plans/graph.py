@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """edges(src, dst), taken as undirected -> (node, component), component being the smallest node reached.
 
     Alternates the large-star and small-star steps, which end in a number of rounds logarithmic in the longest chain.
     Each round first takes the minimum a node sees as a partial aggregate, so a hub spreads over all tasks. Null ends
-    and loops are ignored; an empty input gives an empty result.
+    and loops are ignored; an empty input gives an empty result. With `rounds`, an error if these aren't enough.
     """
     e = checkpoint(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     nodes = e.select("u").union(e.select("v")).distinct()
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            raise RuntimeError(f"components aren't settled after {rounds} rounds")
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -70,17 +74,20 @@ def _trim(e: DataFrame) -> DataFrame:
         e = kept
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of strongly connected components with more than one node; component is the smallest node of each.
 
     Forward-backward colouring: edges outside cycles are trimmed; every node takes the smallest node that reaches it; what
-    reaches that node within its colour is a component; the rest goes on without it. Loops aren't components.
+    reaches that node within its colour is a component; the rest goes on without it, until no edge is left (each round
+    settles a node at least). Loops aren't components. With `rounds`, an error if edges are left after so many.
     """
     e = _trim(checkpoint(_edges(edges)))
     out: DataFrame | None = None
-    for _ in range(rounds):
+    for k in count():
         if e.isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"edges are left after {rounds} rounds")
         colour = checkpoint(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("c", F.col("node")))
         while True:
             came = e.join(colour, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c").groupBy("node").agg(F.min("c").alias("m"))
@@ -135,6 +142,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         ready = checkpoint(open_nodes.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
         if ready.isEmpty():
+            if not open_nodes.isEmpty():
+                raise RuntimeError("nodes are left that depend on each other")
             break
         part = ready.withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)

@@ -302,3 +302,15 @@ def test_package_has_no_back_reference():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "repolens.llm" not in p.read_text() and "from .llm" not in p.read_text() and "from ..llm" not in p.read_text()
+
+
+def test_cycles_are_complete_or_an_error(spark):
+    """Cycles in a chain, in ascending order of name: a round settles one."""
+    names = "abcd"
+    edges = [(f"{c}1", f"{c}2") for c in names] + [(f"{c}2", f"{c}1") for c in names] + [(f"{a}1", f"{b}1") for a, b in zip(names, names[1:], strict=False)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {tuple(r) for r in G.strong_components(df).collect()}
+    assert got == {(f"{c}{i}", f"{c}1") for c in names for i in (1, 2)}
+    for few in (lambda: G.strong_components(df, rounds=1), lambda: G.connected_components(df, rounds=1)):
+        with pytest.raises(RuntimeError):
+            few()
