@@ -1,9 +1,10 @@
 """Where does a source file come from: written by hand, generated, minified, third-party or data?
 
-:func:`layout` lexes a text, re-emits its statements in a canonical layout and compares the original with it:
+:func:`layout` lexes a text and measures its layout; no canonical layout is emitted, only its lines are counted:
 
-* ``expansion``  - canonical lines per original line; extreme values mark minified text,
-* ``uniformity`` - share of original lines that stand exactly where the canonical layout puts them,
+* ``expansion``  - lines of one statement each, by the statement ends in the code (in Python lines and semicolons), per
+  original line; extreme values mark minified text,
+* ``uniformity`` - share of lines of at most 140 characters, even indentation and two semicolons; :func:`origin` doesn't use it,
 * ``literals``   - share of the text inside literals (strings and numbers of lists); dominance marks data.
 
 :func:`origin` combines that with what notices in comments and the path say.
@@ -40,6 +41,8 @@ _COPIED = re.compile(
     re.I | re.M,
 )
 _NO_NOTICE = re.compile(r"method stub|constructor stub|catch block|['\"‘“`«]\s*(?:do not edit|code generated|@generated|auto)", re.I)
+_NEAR = 400  # a quotation or stub so many characters from a notice is about it
+_LONG_RUN = re.compile(r"(\W{4})\W+(\W{4})")
 # Path conventions of generators and of vendored trees.
 _GENERATED_PATH = re.compile(
     r"(?:^|/)(?:__generated__|generated|generated[-_]sources?|generated[-_]src|gen|autogen|codegen[-_]out|_generated)/"
@@ -66,7 +69,7 @@ def layout(text: str, language: str) -> dict:
     n = max(1, len(lines))
     longest = max(map(len, lines), default=0)
     code_lines = [x for x in code.split("\n") if x.strip()]
-    # the canonical layout: one statement a line, a line for each closing brace
+    # lines of a canonical layout, counted: one statement a line, a line for each closing brace
     for_heads = code.count("for(") + code.count("for (")
     ends = len(_STATEMENT_ENDS.findall(code)) - 2 * for_heads
     canonical = max(len(code_lines), ends if language != "python" else code.count(";") + len(code_lines))
@@ -83,10 +86,10 @@ def notices(text: str, comments: list) -> tuple[bool, bool]:
     generated = copied = False
     for a, e, _ in comments:
         for line in text[a:e].splitlines():
-            if len(line) > 400:
-                line = line[:400]
-            if not generated and _GENERATED.search(line) and not _NO_NOTICE.search(line):
-                generated = True
+            if len(line) > _NEAR:
+                line = _LONG_RUN.sub(r"\1\2", line)  # the patterns' time grows steeply with such runs, their matches don't
+            if not generated:
+                generated = any(not _NO_NOTICE.search(line, max(0, m.start() - _NEAR), m.end() + _NEAR) for m in _GENERATED.finditer(line))
             if not copied and _COPIED.search(line.strip().lstrip("/*#!-; ") if "!" not in line[:4] else line):
                 copied = True
     return generated, copied

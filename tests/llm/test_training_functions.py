@@ -236,3 +236,12 @@ def test_docstrings_behind_comments_at_any_place(before, header):
     text = before + header + '    """Moves every ticket."""\n    return x\n'
     found = [(s[2], s[4]) for s in docs.comment_spans(text, "python") if s[3] == "docstring"]
     assert found == [(before.count("\n") + 1, "Moves every ticket.")]
+
+
+def test_notices_at_the_end_of_long_lines():
+    hand = "def f(x):\n    return x\n"
+    for fill in ("words of a banner " * 60, "=" * 3000, "-./@ " * 2000, "*!) " * 1000):
+        assert origin.origin("src/a.py", None, f"# {fill} Code generated by tool. DO NOT EDIT.\n" + hand) == "generated"
+        assert origin.origin("src/a.py", None, f"# {fill} vendored from left-pad\n" + hand) == "vendored"
+        assert origin.origin("src/a.py", None, f"# {fill} Writes 'code generated by tool. do not edit' into files.\n" + hand) is None
+        assert origin.origin("src/a.py", None, f"# do not edit {fill}\n" + hand) is None
