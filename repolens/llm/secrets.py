@@ -1,9 +1,10 @@
 """Credentials inside source text: candidates, entropy per alphabet, exclusions and masking.
 
-Candidates are quoted strings and long tokens that stand in a telling place (after a telling name, in a header, in
-an address, as second argument of a log-in call, inside key armour) or that have the shape of an issued token. A
-candidate is a credential if its Shannon entropy is above a threshold that depends on its alphabet and length, and it
-isn't a placeholder, a reference, a checksum, an identifier or running words.
+Candidates are all long tokens, quoted or not, and the quoted strings and tokens of any length that stand in a telling place
+(after a telling name, in a header, in an address, beside an account, as second argument of a log-in call, inside key
+armour). A candidate is a credential if its Shannon entropy reaches a share of what a random value of its length over its
+alphabet can have, and it isn't a placeholder, a reference, a checksum, an identifier or running words. The place is one
+feature: it says how large a share is asked for (`SHARES`).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ _SIGNS = {
     "url": ["://"],
     "pem": ["-----begin "],
     "call": ['("', "('"],
+    "pair": [" / "],
     "shape": ["eyj", "_live_", "_prod_", "_srv_", "_test_", "_dev_", "_stage_", "_staging_", "_sk_", "_pk_", "akia", "asia", "ghp_",
               "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "npm_", "pypi-", "aiza", "hf_", "sg."],
     "scheme": ["bearer ", "basic ", "token ", "digest ", "apikey ", "negotiate "],
@@ -31,12 +33,13 @@ _SIGNS = {
     "key": ["pass", "pwd", "secret", "token", "tok", "key", "auth", "cred", "bearer", "pw"],
 }
 _PATTERNS = {
-    "url": re.compile(r"://[^\s/:@\"'`<>]{0,100}:"),
+    "url": re.compile(r"://[^\s/:@\"'`<>]*+:"),
     "pem": re.compile(r"-----BEGIN "),
     "call": re.compile(r"\((?=[\"'][\w.@+-]+[\"']\s*,\s*[\"'])"),
     "shape": re.compile(r"(?:eyJ(?=[\w-]{8,}\.)|[a-z]{2,6}_(?:live|prod|srv|test|dev|stage|staging|sk|pk)_|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|npm_|pypi-|AIza|hf_|SG\.)"),
-    "scheme": re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|Digest|ApiKey|Negotiate|bearer|basic|token) +(?=[\w+/=.~-]{16})"),
-    "header": re.compile(r"(?<![A-Za-z])[Xx]-[A-Za-z-]{2,30}: *(?=[\w+/=.~-]{12})"),
+    "scheme": re.compile(r"(?<![A-Za-z])(?:Bearer|Basic|Token|Digest|ApiKey|Negotiate|bearer|basic|token) +(?=\S{8})"),
+    "header": re.compile(r"(?<![A-Za-z-])[Xx]-[A-Za-z-]{2,}+: *(?=[\w+/=.~-]{12})"),
+    "pair": re.compile(r"(?<=\w) / (?=[^\s/]{6})"),
     "key": re.compile(
         r"(?:[Pp]ass(?:w|phrase|code|\b|_|\d|[A-Z])|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|(?:(?<=[a-z_])T|(?<=_)t|\bt)ok(?![a-z])|TOK\b"
         r"|[Kk]ey(?![a-z])|KEY|[Aa]uth|AUTH|[Cc]red|CRED|[Bb]earer|BEARER|(?<![a-z])[Pp]w(?![a-z])|PW\b)"
@@ -69,14 +72,17 @@ def _places(text: str):
 
 
 _SEPARATOR = re.compile(
-    r"""[\w.\-]{0,40}(?:\\?["'`\]])?(?:\s*:\s*(?:[\w<>\[\]?.]+(?:::[\w<>]+)*)\s*(?==)|\s*\[\s*\d*\s*\]\s*(?==))?[ \t]*(?P<sep>=>|:=|==?|:|,|\()[ \t]*(?:\r?\n[ \t]*(?=["'`]))?(?:[|>][-+]?[ \t]*\r?\n[ \t]*)?(?:(?:@|\$|[rbuRBU])(?=["']))?"""
+    r"""[\w.\-]*+(?:\\?["'`\]])?(?:\s*:\s*(?:[\w<>\[\]?.]+(?:::[\w<>]+)*)\s*(?==)|\s*\[\s*\d*\s*\]\s*(?==))?[ \t]*(?P<sep>=>|:=|==?|:|,|\()[ \t]*(?:\r?\n[ \t]*(?=["'`]))?(?:[|>][-+]?[ \t]*\r?\n[ \t]*)?(?:(?:@|\$|[rbuRBU])(?=["']))?"""
 )
 _QUOTED = re.compile(r'"(?P<d>(?:[^"\\\r\n]|\\.)*)"|\'(?P<s>(?:[^\'\\\r\n]|\\.)*)\'|`(?P<b>[^`\r\n]*)`')
 _JOIN = re.compile(r"\s*(?:\\\r?\n\s*|\+|\.(?!\w)|&|\.\.)?\s*(?:\\?\r?\n\s*)?(?:\+\s*)?")
 _BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>|\\]+")
-_URL_REST = re.compile(r"(?P<pw>[^\s/\"'`<>@]{1,200}(?:@[^\s/\"'`<>@]*?)?)@(?=[\w\[])")
-_PEM = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*?)(?:PRIVATE KEY(?: BLOCK)?)-----(?P<body>[\s\S]{0,20000}?)(?:-----END |$)")
-_CALL = re.compile(r"\([\"'](?P<user>[\w.@+-]+)[\"']\s*,\s*(?P<q>[\"'])(?P<pw>[^\"'\r\n]{6,120})(?P=q)")
+_URL_REST = re.compile(r"(?P<pw>[^\s/\"'`<>@]+(?:@[^\s/\"'`<>@]*?)?)@(?=[\w\[])")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_MARKS = r"(?:[\s\"'`+.,;:()\[\]#*>|/{}&-]|\\[nrt\\])*"
+_PEM_LINE = re.compile(_MARKS + r"(?:[A-Z][\w-]+: [^\r\n]*|(?P<run>(?:\\[nrt\\]|[A-Za-z0-9+/=])*))" + _MARKS)
+_IN_LINE = re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/=])*+")
+_CALL = re.compile(r"\([\"'](?P<user>[\w.@+-]+)[\"']\s*,\s*(?P<q>[\"'])(?P<pw>[^\"'\r\n]{6,})(?P=q)")
 _SHAPE = re.compile(r"[\w+/=.~-]{16,}")
 
 # What stands where a secret would stand but isn't one.
@@ -89,6 +95,7 @@ _REFERENCE = re.compile(
     r"\$\{|\$\(|^\$\w+$|\{\{|\}\}|%\(|%\w+%|^%[sdv]$|^\{\w*\}$|#\{|<%|\benv[.\[(:/]|getenv|environ|^(?:vault|env|ssm|secretsmanager|aws-?sm|gcp-?sm|keyvault|op|sops|ref|file|kms|doppler|arn|azure-?kv|k8s|secret|secrets|sm)[:+/]|^ENC\[|\bprocess\.|\bsecrets?\.|\bvault\b|^@|^/run/secrets|^(?:/|\./|\.\./|~/)[\w./-]+$"
 )
 _HEX = re.compile(r"[0-9a-fA-F]+")
+_WORD_RUN = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}|\d{5,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[A-Za-z]?[a-z]+(?:[-_./: ,][A-Za-z]?[a-z]+)*[.!?]?")
 _CAMEL = re.compile(r"[A-Za-z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*\d{0,2}|[A-Z]+(?:_[A-Z]+)*\d{0,2}")
@@ -105,44 +112,55 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def threshold(value: str) -> float:
-    """Least entropy of a random value of this length over this alphabet, less a margin for chance."""
+#: Share of the highest entropy that is asked for: where only the value can tell, where the place hints at a secret, where it says so.
+SHARES = (0.85, 0.72, 0.6)
+
+
+def threshold(value: str, strength: int = 1) -> float:
+    """Least entropy of a credential: the share of its place of the most a value of this length over this alphabet can have.
+    A value of n characters can't exceed log2(n), whatever its alphabet."""
     n = len(value)
     size = 16 if _HEX.fullmatch(value) else 36 if value.lower() == value or value.upper() == value else 62
-    most = math.log2(min(n, size))
-    return 0.72 * most
+    if any(not c.isalnum() for c in value):
+        size += 32
+    return SHARES[strength] * math.log2(max(2, min(n, size)))
 
 
 def _classes(v: str) -> int:
     return any(c.islower() for c in v) + any(c.isupper() for c in v) + any(c.isdigit() for c in v) + any(not c.isalnum() for c in v)
 
 
+def _wordy(v: str) -> bool:
+    """Does the value consist of words and numbers for the most part, as paths and compound identifiers do?"""
+    return 2 * sum(len(m) for m in _WORD_RUN.findall(v)) > len(v)
+
+
 def is_secret(value: str, strength: int) -> bool:
     """strength 2: the place says a secret stands here; 1: the place hints at it; 0: only the value itself can tell."""
     v = value.strip()
     n = len(v)
-    if n < (6 if strength == 2 else 12) or n > 4096 or any(c in v for c in " \t\r\n"):
+    if n < (20, 12, 6)[strength] or any(c in v for c in " \t\r\n"):
         return False
     if _PLACEHOLDER.search(v) or _REFERENCE.search(v) or _PLAIN.fullmatch(v):
         return False
     if _WORDS.fullmatch(v) or _CAMEL.fullmatch(v):
         return False
-    if _HEX.fullmatch(v) or _UUID.fullmatch(v):
-        return strength == 2 and n >= 16 and entropy(v) >= threshold(v)
-    if n < 8 and _classes(v) < 3:
+    if _HEX.fullmatch(v) or _UUID.fullmatch(v):  # a checksum or an identifier, unless the place says otherwise
+        return strength == 2 and n >= 16 and entropy(v) >= threshold(v, 2)
+    classes = _classes(v)
+    if classes < 2 or n < 8 and classes < 3:
         return False
-    if strength == 2:
-        if re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)+[-_.]\d{3,}[!#$%&*?]?", v):
-            return True
-        if _classes(v) < 2:
-            return False
-        return entropy(v) >= min(threshold(v), 2.5)
-    return _classes(v) >= 3 and n >= 16 and entropy(v) >= max(3.2, threshold(v)) and any(c.isdigit() for c in v)
+    if strength < 2 and (classes < 3 or n < 16 or not any(c.isdigit() for c in v)):
+        return False
+    if strength == 0 and (_wordy(v) or not (any(c.islower() for c in v) and any(c.isupper() for c in v))):
+        return False
+    return entropy(v) >= threshold(v, strength)
 
 
 def _name_before(text: str, i: int) -> str:
+    """The name that ends before i; its end decides, so of a very long one the last 200 characters are enough."""
     j = i
-    while j > 0 and i - j < 60 and (text[j - 1].isalnum() or text[j - 1] in "_.-$"):
+    while j > 0 and i - j < 200 and (text[j - 1].isalnum() or text[j - 1] in "_.-$"):
         j -= 1
     return text[j:i]
 
@@ -161,12 +179,90 @@ def _strength(name: str) -> int:
     return 2 if _LAST.search(name) else 1
 
 
+def _key_end(text: str, i: int) -> int:
+    """Where the body of an armoured key ends that begins at i: before its end mark, else behind the last line that can belong to it."""
+    end = text.find("-----END ", i)
+    at = last = i
+    while at < len(text):
+        e = text.find("\n", at)
+        e = len(text) if e < 0 else e
+        if at <= end < e:
+            return end if _PEM_LINE.fullmatch(text, at, end) else last
+        m = _PEM_LINE.fullmatch(text, at, e)
+        if not m:
+            # the rest of the armour's own line, up to the end of its literal
+            return _IN_LINE.match(text, i).end() if at == i else last
+        last = e
+        if m["run"] and len(m["run"]) < 16 and at > i and (end < 0 or text.count("\n", e, end) > 1):
+            break  # only the last line of a key is short
+        at = e + 1
+    return last
+
+
 def find(text: str | None, config: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
     """(start, spans to mask) of each credential in a text, by start. config: the text is a settings file."""
     if not text:
         return []
+    found, skipped = _told(text, config)
+    for start, end in _untold(text, found, skipped):
+        found[start] = [(start, end)]
+    return sorted(found.items())
+
+
+_TOKEN = re.compile(r"(?<![\w+/.~-])[\w+/.~-]{20,}+={0,2}")
+_NEUTRAL_MOST = 128  # a longer literal without a telling name holds data, not a credential
+_NAMED = re.compile(r"([\w.$-]+)[\"'\]]?\s*(?:=>|:=|=|:)\s*[\"'`]?$")
+_ALONE = re.compile(r"[\s\"'`+,.;()\[\]{}\\]*+")
+_DATA_LINE = re.compile(r"[\s\"'`+,.;()\[\]{}\\]*+[\w/=~-][\w+/=.~-]{19,}[\s\"'`+,.;()\[\]{}\\]*")
+
+
+def _untold(text: str, found: dict, skipped: list) -> list[tuple[int, int]]:
+    """Long tokens outside telling places that are credentials by their entropy alone.
+
+    Left out: checksums and identifiers by name, addresses, what stands in data: addresses and public keys, lines of a longer literal."""
+    out: list[tuple[int, int]] = []
+    taken = sorted([x for spans in found.values() for x in spans] + skipped)
+    k = 0
+    for m in _TOKEN.finditer(text):
+        a = m.start()
+        v = m[0].rstrip(".-")
+        e = a + len(v)
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < e or len(v) > _NEUTRAL_MOST or not is_secret(v, 0):
+            continue
+        begin = text.rfind("\n", 0, a) + 1
+        before = text[max(begin, a - 200) : a]
+        named = _NAMED.search(before)
+        if "://" in before.rsplit(" ", 1)[-1] or before.endswith(("/", "@", "\\")) or _data_before(text, a) or v.startswith("AAAA") or named and _NOT_SECRET_NAME.search(named[1]):
+            continue
+        if _part_of_data(text, begin, a, e):
+            continue
+        out.append((a, e))
+    return out
+
+
+def _part_of_data(text: str, begin: int, a: int, e: int) -> bool:
+    """Is the token at a..e, on the line that begins at `begin`, a line of a longer literal: before another such
+    line, or alone on its line and behind one or of the length encoders give lines?"""
+    stop = text.find("\n", e)
+    stop = len(text) if stop < 0 else stop
+    if not _ALONE.fullmatch(text, e, stop):
+        return False
+    after = text.find("\n", stop + 1)
+    if _DATA_LINE.fullmatch(text, stop + 1, len(text) if after < 0 else after):
+        return True
+    if not _ALONE.fullmatch(text, begin, a):
+        return False
+    before = text.rfind("\n", 0, max(0, begin - 1)) + 1
+    return e - a in (64, 76) or bool(begin and _DATA_LINE.fullmatch(text, before, begin - 1))
+
+
+def _told(text: str, config: bool) -> tuple[dict[int, list[tuple[int, int]]], list[tuple[int, int]]]:
+    """Credentials in telling places, and the spans of public keys, certificates and the like."""
     found: dict[int, list[tuple[int, int]]] = {}
-    done = -1
+    skipped: list[tuple[int, int]] = []
+    done = tested = -1
     for kind, m in _places(text):
         i, j = m.start(), m.end()
         if i < done:
@@ -174,22 +270,28 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, list[tuple[i
         if kind == "pem":
             p = _PEM.match(text, i)
             if p:
-                body = p["body"].replace("\\r", "").replace("\\n", "\n")
+                a, e = p.end(), _key_end(text, p.end())
+                body = text[a:e].replace("\\r", "").replace("\\n", "\n")
                 packed = re.sub(r"[^A-Za-z0-9+/=]", "", "\n".join(x for x in re.split(r"[\n\"']", body) if ":" not in x))
                 if len(packed) >= 24 and len(set(packed)) > 10 and not _PLACEHOLDER.search(body[:400]):
-                    found[i] = [(p.start("body"), p.end("body"))]
-                done = p.end()
+                    found[i] = [(a, e)]
+                done = e
             else:
-                e = text.find("-----END ", i)
-                done = e if 0 <= e - i < 20000 else j
+                armour = text.find("-----", j, j + 80)
+                done = _key_end(text, armour + 5 if armour >= 0 else j)
+                skipped.append((i, done))
+        elif kind == "pair":
+            p = _BARE.match(text, j)
+            if p and _ACCOUNT.search(text, max(text.rfind("\n", 0, i) + 1, i - 200), i):
+                v = p[0].rstrip(".")
+                if is_secret(v, 2):
+                    found[j] = [(j, j + len(v))]
+                    done = j + len(v)
         elif kind == "url":
             p = _URL_REST.match(text, j)
             if p and p["pw"]:
                 pw = p["pw"]
-                if is_secret(pw, 2) or (
-                    len(pw) >= 6 and not _PLACEHOLDER.search(pw) and not _REFERENCE.search(pw) and not _WORDS.fullmatch(pw)
-                    and not pw.isdigit() and _classes(pw) >= 2
-                ):
+                if is_secret(pw, 2):
                     found[j] = [(j, p.end("pw"))]
                     done = p.end()
         elif kind == "call":
@@ -212,7 +314,7 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, list[tuple[i
                 v = p[0].rstrip(".,:")
                 if kind == "header" and (s := re.match(r"(?:Bearer|Basic|Token|ApiKey)$", v)):
                     continue
-                if kind == "scheme" and not (any(c.isdigit() for c in v) and not _CAMEL.fullmatch(v)):
+                if kind == "scheme" and not (any(c.isdigit() for c in v) and not _CAMEL.fullmatch(v) and (len(v) >= 16 or _classes(v) >= 3)):
                     continue
                 if kind == "header" and not re.search(r"(?i)key|auth|token|secret|pass|sign|cred", m[0]):
                     continue
@@ -220,8 +322,11 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, list[tuple[i
                     found[j] = [(j, j + len(v))]
                     done = j + len(v)
         else:
+            if i < tested:  # a further sign within a name that was judged
+                continue
             s = _SEPARATOR.match(text, j)
             if not s:
+                tested = _NAME_REST.match(text, j).end()
                 continue
             name = _name_before(text, i) + text[i : s.start("sep")].split(":")[0].split("[")[0].rstrip(" \t\"'`]\\")
             sep, at = s["sep"], s.end()
@@ -270,14 +375,17 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, list[tuple[i
                             continue
                 if v.endswith((";", ",")):
                     v = v[:-1]
-                if not config and re.fullmatch(r"[A-Za-z_$][\w$.]*", v) and (_classes(v) < 3 or not tight):
+                if not config and re.fullmatch(r"[A-Za-z_$][\w$.]*", v) and (_classes(v) < 3 and sum(map(str.isdigit, v)) < 4 or not tight):
                     continue
                 if is_secret(v, strength):
                     found[at] = [(at, at + len(v))]
                     done = at + len(v)
-    return sorted(found.items())
+    return found, skipped
 
 
+_NAME_REST = re.compile(r"[\w.\-]*+")
+# What stands on a line that tells an account and its password.
+_ACCOUNT = re.compile(r"(?i)\b(?:log-?in|access|account|sign-?in|log-?on|locked out|credentials?|creds|user(?:name)?|password|auth)\b")
 _NOT_CALL = re.compile(r"(?i)(?:log(?:ger)?|debug|info|warn|error|print\w*|format|replace|split|join|put|get\w*|has|contains|assert\w*|equals?|regex|match|test|describe|it)\s*$")
 
 
