@@ -85,14 +85,16 @@ def documented_pairs(symbols: DataFrame, files: DataFrame, max_gap: int = 0) ->
 
 # --- 2 -------------------------------------------------------------------------------------------------------------
 def file_origin(files: DataFrame) -> DataFrame:
-    """(file_id, origin) of files that aren't hand-written: generated, minified, vendored or data."""
+    """(file_id, origin, shown_by, expansion, uniformity, literals) of files that aren't hand-written: generated, minified, vendored or
+    data; shown by their layout, a notice or the path. The measures are null for blank texts."""
 
     def row(file_id, path, language, content):
-        o = origin.origin(path, language, content)
-        if o:
-            yield file_id, o
+        found = origin.judge(path, language, content)
+        if found:
+            f = found[2]
+            yield file_id, found[0], found[1], f.get("expansion"), f.get("uniformity"), f.get("literals")
 
-    return map_rows(files.select("file_id", "file_path", "language", "content"), row, "file_id bigint, origin string").distinct()
+    return map_rows(files.select("file_id", "file_path", "language", "content"), row, "file_id bigint, origin string, shown_by string, expansion double, uniformity double, literals double").distinct()
 
 
 def handwritten(files: DataFrame) -> DataFrame:

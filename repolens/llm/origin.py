@@ -1,18 +1,22 @@
 """Where does a source file come from: written by hand, generated, minified, third-party or data?
 
-:func:`layout` lexes a text and measures its layout; no canonical layout is emitted, only its lines are counted:
+:func:`emit` lexes a text and emits it again in one canonical layout: a statement a line, blocks indented, single blanks.
+:func:`layout` compares the original with it:
 
-* ``expansion``  - lines of one statement each, by the statement ends in the code (in Python lines and semicolons), per
-  original line; extreme values mark minified text,
-* ``uniformity`` - share of lines of at most 140 characters, even indentation and two semicolons; :func:`origin` doesn't use it,
+* ``expansion``  - canonical lines per original line of code; extreme values mark minified text,
+* ``uniformity`` - agreement of the two layouts, line by line with indentation: 1 if every line stands as the emitter writes it. Next
+  to none, with extreme expansion, marks minified text. Perfect uniformity can't mark generated text in this data: 29 % of the
+  hand-written files of sf0.1 have it (formatters give it to them) and 34 % of the generated ones,
 * ``literals``   - share of the text inside literals (strings and numbers of lists); dominance marks data.
 
-:func:`origin` combines that with what notices in comments and the path say.
+:func:`origin` lets the layout decide first. What it can't tell - a copied library or generated code looks like any other -
+notices in comments and, last, conventions of paths say, as the problem's statement has it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from .lexer import language_of, scan
 
@@ -56,29 +60,103 @@ _COPIED_PATH = re.compile(
 )
 _MINIFIED_PATH = re.compile(r"[.-](?:min|bundle|packed|chunk)\.(?:js|mjs|cjs|css|ts)$|\.bundle\.\w+$", re.I)
 
-_STATEMENT_ENDS = re.compile(r"[;{}]")
+_STOPS = re.compile(r"[;{}()\[\]\n]")
+_BLANKS = re.compile(r"[ \t]+")
+_OPEN_END = re.compile(r"(?:[-+*/%&|^=<>,.?:!~]|&&|\|\||\\)$")
 _NUMBER_LIST = re.compile(r"(?:[-+]?(?:0[xX][0-9A-Fa-f]+|\d[\d.eE]*)[fFuUlL]*\s*,\s*){12,}[-+]?[\dxXA-Fa-f.]*")
 _DEFINES = re.compile(r"\b(?:def|class|function|func|fun|interface|struct|enum|return|for|while|if|switch)\b|=>|\)\s*\{")
 
 
+def emit(code: str, language: str) -> list[tuple[int, str]]:
+    """Canonical lines (depth of indentation, text) of a scanned text: a statement a line, a line for each closing brace. Line ends
+    count as statement ends outside brackets, unless the line can't be complete; in Python indentation gives the depth."""
+    out: list[tuple[int, str]] = []
+    if language == "python":
+        return _emit_python(code)
+    parts: list[str] = []
+    depth = round_ = at = 0
+    held: list[int] = []  # brackets open around each brace
+
+    def flush() -> None:
+        line = _BLANKS.sub(" ", "".join(parts)).strip()
+        if line:
+            out.append((depth, line))
+        parts.clear()
+
+    for m in _STOPS.finditer(code):
+        i, c = m.start(), m[0]
+        parts.append(code[at:i])
+        at = i + 1
+        if c == "\n":
+            line = parts[-1].rstrip() or "".join(parts[-2:-1])
+            if round_ or not line or _OPEN_END.search(line):
+                parts.append(" ")
+            else:
+                flush()
+        elif c == ";":
+            parts.append(c)
+            if not round_:
+                flush()
+        elif c == "{":
+            parts.append(c)
+            flush()
+            held.append(round_)
+            round_ = 0
+            depth += 1
+        elif c == "}":
+            flush()
+            depth = max(0, depth - 1)
+            round_ = held.pop() if held else 0
+            parts.append(c)
+        else:
+            parts.append(c)
+            round_ = max(0, round_ + (1 if c in "([" else -1))
+    parts.append(code[at:])
+    flush()
+    return out
+
+
+def _emit_python(code: str) -> list[tuple[int, str]]:
+    out: list[tuple[int, str]] = []
+    open_, pending = 0, ""
+    levels = [0]
+    for raw in code.split("\n"):
+        line = raw.strip()
+        if not line:
+            continue
+        if not pending:
+            width = len(raw.expandtabs(8)) - len(raw.expandtabs(8).lstrip())
+            while width < levels[-1]:
+                levels.pop()
+            if width > levels[-1]:
+                levels.append(width)
+        pending = f"{pending} {line}".strip()
+        open_ += sum(map(line.count, "([{")) - sum(map(line.count, ")]}"))
+        if open_ > 0 or line.endswith("\\"):
+            continue
+        open_ = 0
+        out += [(len(levels) - 1, _BLANKS.sub(" ", x.strip())) for x in pending.split(";") if x.strip()]
+        pending = ""
+    if pending:
+        out.append((len(levels) - 1, _BLANKS.sub(" ", pending)))
+    return out
+
+
 def layout(text: str, language: str) -> dict:
-    """expansion, uniformity, literals and longest (line length) of a text, and its scan."""
+    """expansion, uniformity, literals, longest and mean line of a text, and its scan."""
     s = scan(text, language)
-    code = s.code
     lines = [x for x in text.split("\n") if x.strip()]
-    n = max(1, len(lines))
-    longest = max(map(len, lines), default=0)
-    code_lines = [x for x in code.split("\n") if x.strip()]
-    # lines of a canonical layout, counted: one statement a line, a line for each closing brace
-    for_heads = code.count("for(") + code.count("for (")
-    ends = len(_STATEMENT_ENDS.findall(code)) - 2 * for_heads
-    canonical = max(len(code_lines), ends if language != "python" else code.count(";") + len(code_lines))
-    expansion = canonical / max(1, len(code_lines))
-    good = sum(1 for x in code_lines if len(x) <= 140 and x == x.rstrip() and (len(x) - len(x.lstrip(" \t"))) % 2 == 0 and x.count(";") <= 2)
-    inside = sum(e - a for a, e in s.strings) + sum(len(m[0]) for m in _NUMBER_LIST.finditer(code))
+    code_lines = [x for x in s.code.split("\n") if x.strip()]
+    canonical = emit(s.code, language)
+    # the step of indentation the text itself uses, by its most frequent first level
+    widths = Counter(len(x) - len(x.lstrip(" \t")) for x in code_lines)
+    step = min((w for w in widths if w and widths[w] * 20 >= len(code_lines)), default=1)
+    mine = Counter(((len(x) - len(x.lstrip(" \t"))) / step, x.lstrip(" \t")) for x in code_lines)
+    same = (mine & Counter((float(d), x) for d, x in canonical)).total()
+    inside = sum(e - a for a, e in s.strings) + sum(len(m[0]) for m in _NUMBER_LIST.finditer(s.code))
     total = max(1, len(text) - sum(e - a for a, e, _ in s.comments))
-    return {"expansion": expansion, "uniformity": good / max(1, len(code_lines)), "literals": inside / total,
-            "longest": longest, "mean": len(text) / n, "scan": s}
+    return {"expansion": len(canonical) / max(1, len(code_lines)), "uniformity": 2 * same / max(1, len(code_lines) + len(canonical)), "literals": inside / total, "inside": inside,
+            "longest": max(map(len, lines), default=0), "mean": len(text) / max(1, len(lines)), "scan": s}
 
 
 def notices(text: str, comments: list) -> tuple[bool, bool]:
@@ -95,30 +173,33 @@ def notices(text: str, comments: list) -> tuple[bool, bool]:
     return generated, copied
 
 
-def origin(path: str | None, language: str | None, text: str | None) -> str | None:
-    """generated, minified, vendored, data or None (hand-written, configuration, empty, null or no known language)."""
+def judge(path: str | None, language: str | None, text: str | None) -> tuple[str, str, dict] | None:
+    """(origin, what shows it: layout, notice or path, measures of the layout) of a file that isn't hand-written; None for hand-written
+    files, configuration, and no known language. Of a null or blank text only the path can tell."""
     spoken = language_of(path)
     if not spoken:
         return None
     path = path or ""
-    text = text or ""
+    f: dict = {}
+    if text and text.strip():
+        f = layout(text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text, spoken)
+        if f["uniformity"] < 0.2 and (f["expansion"] >= 4 and f["mean"] > 100 or f["longest"] > 1000 and f["expansion"] >= 2.5 and f["literals"] < 0.5):
+            return "minified", "layout", f
+        if f["literals"] >= 0.8 and f["inside"] >= 100 and len(_DEFINES.findall(f["scan"].code)) <= 1:
+            return "data", "layout", f
+        generated, copied = notices(text, f["scan"].comments)
+        if generated or copied:
+            return "generated" if generated else "vendored", "notice", f
     if _COPIED_PATH.search(path):
-        return "vendored"
+        return "vendored", "path", f
     if _GENERATED_PATH.search(path):
-        return "generated"
-    if not text.strip():
-        return None
-    f = layout(text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text, spoken)
-    generated, copied = notices(text, f["scan"].comments)
-    if generated:
-        return "generated"
-    if copied:
-        return "vendored"
-    if f["expansion"] >= 4 and f["mean"] > 100 or f["longest"] > 1000 and f["expansion"] >= 2.5 and f["literals"] < 0.5:
-        return "minified"
-    if _MINIFIED_PATH.search(path) and f["expansion"] >= 1.5:
-        return "minified"
-    code_words = len(_DEFINES.findall(f["scan"].code))
-    if f["literals"] >= 0.8 and len(text) >= 400 and code_words <= 1:
-        return "data"
+        return "generated", "path", f
+    if f and _MINIFIED_PATH.search(path) and f["expansion"] >= 1.5:
+        return "minified", "path", f
     return None
+
+
+def origin(path: str | None, language: str | None, text: str | None) -> str | None:
+    """generated, minified, vendored, data or None (hand-written, configuration, empty, null or no known language)."""
+    found = judge(path, language, text)
+    return found[0] if found else None

@@ -29,6 +29,11 @@ def p2_handwritten(spark: SparkSession, d: str) -> DataFrame:
     return C.handwritten(table(spark, d, "files")).select("file_id", "project_id", "file_path").distinct()
 
 
+def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
+    found = C.file_origin(table(spark, d, "files"))
+    return found.groupBy("origin", "shown_by").agg(F.countDistinct("file_id").alias("files"), F.round(F.avg("expansion"), 3).alias("expansion"), F.round(F.avg("uniformity"), 3).alias("uniformity"), F.round(F.avg("literals"), 3).alias("literals"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return C.unparsable(table(spark, d, "files")).select("file_id").distinct()
 
@@ -94,7 +99,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p6_found, p6_groups, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p2_evidence, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p6_found, p6_groups, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
 }
 
 SQL: dict[str, str] = {

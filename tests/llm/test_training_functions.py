@@ -296,3 +296,17 @@ def test_the_threshold_grows_with_length_and_alphabet():
 def test_long_odd_texts_take_linear_time():
     for text in ("pass" * 60_000, "x-" * 120_000, "token " * 40_000, "a / b" * 40_000, "-----BEGIN " * 20_000, "://a:" * 40_000, "'" * 200_000):
         assert secrets.lines(text) == []
+
+
+def test_canonical_layout():
+    code = "int f(int a) {\n    for (i = 0; i < 3; i++) { g(a,\n        b); h(); }\n    return a;\n}\n"
+    assert origin.emit(code, "c") == [(0, "int f(int a) {"), (1, "for (i = 0; i < 3; i++) {"), (2, "g(a, b);"), (2, "h();"), (1, "}"), (1, "return a;"), (0, "}")]
+    assert origin.emit("def f(x):\n    y = 1; z = (2 +\n      3)\n    if x:\n        return y\n", "python") == [(0, "def f(x):"), (1, "y = 1"), (1, "z = (2 + 3)"), (1, "if x:"), (2, "return y")]
+    uniform = "\n".join(f"{'  ' * d}{x}" for d, x in origin.emit(code, "c"))
+    assert origin.layout(uniform, "c")["uniformity"] == 1 and origin.layout(uniform, "c")["expansion"] == 1
+    squeezed = uniform.replace("\n", "")
+    f = origin.layout(squeezed, "c")
+    assert f["expansion"] == 7 and f["uniformity"] == 0
+    assert origin.emit(squeezed, "c") == origin.emit(code, "c")
+    assert origin.judge("a.py", None, "D = '" + "QUJD" * 40 + "'\n")[:2] == ("data", "layout")
+    assert origin.judge("gen/a.py", None, None)[:2] == ("generated", "path") and origin.emit("}}}", "c") and origin.emit("", "go") == []
