@@ -20,20 +20,20 @@ _LONG = 5  # words of prose that make documentation real
 
 # --- 1 -------------------------------------------------------------------------------------------------------------
 def comment_blocks(files: DataFrame, max_gap: int = 0) -> DataFrame:
-    """Comment and docstring spans of files that hold at least five words of prose:
-    (file_id, line, first_line, last_line, kind, comment); ``line`` is the line they may document."""
+    """Comment and docstring spans of files that hold at least five words of prose: (file_id, first_line, last_line, from_line,
+    to_line, kind, comment); what begins on a line from from_line to to_line may be what they document."""
 
     def row(file_id, path, language, content):
         spoken = language_of(path, language)
         if not spoken or not content:
             return
-        for first, last, line, kind, comment in docs.comment_spans(content, spoken, max_gap):
-            if docs.says_something(comment, None):
-                yield file_id, line, first, last, kind, comment
+        for span in docs.comment_spans(content, spoken, max_gap):
+            if docs.says_something(span[-1], None):
+                yield file_id, *span
 
     return map_rows(
         files.select("file_id", "file_path", "language", "content"), row,
-        "file_id bigint, line int, first_line int, last_line int, kind string, comment string",
+        "file_id bigint, first_line int, last_line int, from_line int, to_line int, kind string, comment string",
     )
 
 
@@ -42,29 +42,36 @@ def functions(symbols: DataFrame) -> DataFrame:
     return symbols.filter(F.col("symbol_type").isin("function", "method") & ~F.col("name").rlike(r"^chunk_\d+$"))
 
 
+_STRETCH = 64  # lines; the join key is a file and a stretch of its lines
+
+
 def documented(symbols: DataFrame, files: DataFrame, max_gap: int = 0, *more: str) -> DataFrame:
     """As-of interval join of functions with the nearest eligible comment.
 
-    Comment spans and function spans are extracted independently. A span is eligible for the function whose first
-    line is the first code line after it (at most max_gap blank lines away), or whose own docstring it is; a
-    statement between them takes its place as the first code line, so it rejects the span. The join key is (file,
-    line), which spreads over all tasks even if one file holds a third of the functions. Of several eligible spans
-    a docstring comes first, then the nearest comment. Result: symbol_id, comment, kind and `more` columns of
-    symbols, one row a function whose documentation is real; functions without any are left out.
+    Comment spans and function spans are extracted independently. A comment is eligible for a function that begins within the
+    comment's interval, which ends at the first statement below it; so a statement between rejects the pair. Of the
+    eligible ones the nearest above is taken, of comments and docstrings each. The equi-key is (file, stretch of 64 lines),
+    which spreads over all tasks even if one file holds a third of the functions; an interval that crosses stretches is sent to
+    each. Taking the nearest needs no further exchange. Result: symbol_id, comment, kind and `more` columns of symbols for
+    functions whose documentation is real, one row for each of comment and docstring; repeated rows count once, functions
+    without any are left out.
     """
-    spans = comment_blocks(files, max_gap).dropDuplicates(["file_id", "line", "first_line", "kind"])
-    heads = functions(symbols).select(
-        "symbol_id", F.col("file_id").alias("_file"), F.col("start_line").alias("_line"), F.col("name").alias("_name"), F.col("params").alias("_params"), *more
+    at = lambda c: F.floor(F.col(c) / _STRETCH)
+    spans = comment_blocks(files, max_gap).withColumn("_stretch", F.explode(F.sequence(at("from_line"), at("to_line"))))
+    kept = functions(symbols).select("symbol_id", F.col("file_id").alias("_file"), F.col("start_line").alias("_line"), F.col("name").alias("_name"), F.col("params").alias("_params"), *more)
+    heads = kept.withColumn("_at", at("_line"))
+    near = heads.join(spans, (F.col("_file") == F.col("file_id")) & (F.col("_at") == F.col("_stretch")) & F.col("_line").between(F.col("from_line"), F.col("to_line")))
+    best = near.groupBy("file_id", "_stretch", "symbol_id", "kind").agg(
+        F.max_by(F.struct("_name", "_params", "first_line", "comment", *more), F.struct("last_line", "first_line")).alias("b")
     )
-    joined = heads.join(spans, (F.col("_file") == F.col("file_id")) & (F.col("_line") == F.col("line")))
 
-    def row(symbol_id, name, params, kind, first, last, comment, *rest):
+    def row(symbol_id, name, params, kind, first, comment, *rest):
         if docs.says_something(comment, name, params, _LONG):
             yield (symbol_id, kind, first, comment, *rest)
 
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in heads.schema.fields[5:]]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[5:]]
     return map_rows(
-        joined.select("symbol_id", "_name", "_params", "kind", "first_line", "last_line", "comment", *more), row,
+        best.select("symbol_id", "b._name", "b._params", "kind", "b.first_line", "b.comment", *[F.col("b")[c].alias(c) for c in more]), row,
         ", ".join(["symbol_id bigint", "kind string", "first_line int", "comment string", *kinds]),
     )
 

@@ -1,10 +1,10 @@
 """Documentation comments: their spans, the lines they may document, and whether they say anything.
 
 :func:`comment_spans` extracts every comment block and every Python docstring of a text independently of the
-functions around it. Each carries ``anchor``, the line it documents if it documents any: for a comment the line
-right below its last one (or, with ``max_gap``, the first line of code within so many blank
-lines, so that a statement between is never skipped), for a docstring the line of the ``def`` or ``class`` it belongs to. Blocks are whole
-lines of comment; a remark after code on the same line is a statement's, not a function's.
+functions around it. Each carries the interval of lines on which what it documents may begin: for a comment the lines below it
+down to the next line of code (at most `max_gap` blank lines further), so that a statement between ends the interval; for a
+docstring the lines from the decorators to the ``def`` or ``class`` it belongs to. Blocks are whole lines of comment; a remark
+after code on the same line is a statement's, not a function's.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from .lexer import scan
 _HEADER = re.compile(r"^[ \t]*(?:async[ \t]+)?(?:def|class)\b", re.M)
 
 
-def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int, int, int, str, str]]:
-    """(first line, last line, anchor line, kind, comment text), lines 1-based; kind is ``comment`` or ``docstring``."""
+def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int, int, int, int, str, str]]:
+    """(first line, last line, from line, to line, kind, comment text), lines 1-based; kind is ``comment`` or ``docstring``."""
     text = text.removeprefix("\ufeff")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -29,7 +29,7 @@ def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int,
     while i >= 0:
         starts.append(i + 1)
         i = find("\n", i + 1)
-    out: list[tuple[int, int, int, str, str]] = []
+    out: list[tuple[int, int, int, int, str, str]] = []
     block = None  # first line, last line, marker, parts
     for a, e, marker in s.comments:
         if marker in ("#pp", "#!"):
@@ -45,23 +45,20 @@ def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int,
             block[1] = last
             block[3].append(text[a:e])
             continue
-        if block and block[1] + 1 == first and marker == block[2] == "/*":
-            pass
         if block:
-            out.append((block[0], block[1], block[1] + 1, "comment", "\n".join(block[3])))
+            out.append((block[0], block[1], block[1] + 1, block[1] + 1, "comment", "\n".join(block[3])))
         block = [first, last, marker, [text[a:e]]]
     if block:
-        out.append((block[0], block[1], block[1] + 1, "comment", "\n".join(block[3])))
+        out.append((block[0], block[1], block[1] + 1, block[1] + 1, "comment", "\n".join(block[3])))
     if max_gap:
         lines = s.code.split("\n")
-        for k, (first, last, _, kind, comment) in enumerate(out):
+        for k, (first, last, _, _, kind, comment) in enumerate(out):
             below = last
-            while below < len(lines) and below - last <= max_gap and not lines[below].strip():
+            while below < len(lines) and below - last < max_gap and not lines[below].strip():
                 below += 1
-            out[k] = (first, last, below + 1, kind, comment)
+            out[k] = (first, last, last + 1, below + 1, kind, comment)
     if language == "python":
         headers = [m.start() for m in _HEADER.finditer(text)]
-        lines_of = None
         ends = {e: a for a, e, _ in s.comments}
         for a, e in s.strings:
             line = bisect_right(starts, a)
@@ -77,14 +74,12 @@ def comment_spans(text: str, language: str, max_gap: int = 0) -> list[tuple[int,
             h = bisect_right(headers, j) - 1
             if h < 0:
                 continue
-            lines_of = bisect_right(starts, headers[h])
+            top = head = bisect_right(starts, headers[h])
             quote = text[a : a + 3] if text[a : a + 3] in ('"""', "'''") else text[a]
             last = bisect_right(starts, e - 1)
-            comment = text[a + len(quote) : e - len(quote)]
-            out.append((line, last, lines_of, "docstring", comment))
-            while lines_of > 1 and text[starts[lines_of - 2] : starts[lines_of - 1]].lstrip().startswith("@"):
-                lines_of -= 1  # a symbol may begin with its decorators
-                out.append((line, last, lines_of, "docstring", comment))
+            while top > 1 and text[starts[top - 2] : starts[top - 1]].lstrip().startswith("@"):
+                top -= 1  # a symbol may begin with its decorators
+            out.append((line, last, top, head, "docstring", text[a + len(quote) : e - len(quote)]))
     return out
 
 

@@ -91,7 +91,7 @@ def test_no_text_breaks_the_code_functions(text, spoken):
 def test_documentation():
     text = "# Reads all the open things\n# from the given place today.\ndef f(x):\n    pass\n\n\ndef g():\n    '''Says enough words about what happens.'''\n\nx = 1  # a remark after code that is long enough\ndef h():\n    pass\n"
     spans = docs.comment_spans(text, "python")
-    assert [(s[2], s[3]) for s in spans] == [(3, "comment"), (7, "docstring")]
+    assert [(s[2], s[3], s[4]) for s in spans] == [(3, 3, "comment"), (7, 7, "docstring")]
     say = docs.says_something
     assert say("/** Moves every open ticket to the next free shelf. */", "f")
     assert say("// 这个函数把所有打开的项目移到下一个位置", "f")
@@ -99,7 +99,7 @@ def test_documentation():
     for empty in ("# TODO: document", "/** @param a the value of the thing that counts\n * @return nothing at all here */", "// eslint-disable-next-line no-unused-vars", "// x = f(a, b);\n// return x + y * 2;",
                   "/** loadAllOpenTickets. */", '"""Args:\n    a: the first of many values in here\n"""', "", None, "// ======"):
         assert not say(empty, "loadAllOpenTickets", ["a"])
-    assert docs.comment_spans("// A comment that has enough words.\n\n\nint f() {\n}\n", "c", max_gap=2)[0][2] == 4
+    assert docs.comment_spans("// A comment that has enough words.\n\n\nint f() {\n}\n", "c", max_gap=2)[0][2:4] == (2, 4)
 
 
 def test_origin():
@@ -234,7 +234,7 @@ def test_secrets_under_kebab_names_with_suffixes(name):
 @pytest.mark.parametrize("header", ["def f(x):  # noqa\n", "def f(x):\n    # a remark\n", "def f(x):  # noqa\n\n    # a remark\n    # another\n"])
 def test_docstrings_behind_comments_at_any_place(before, header):
     text = before + header + '    """Moves every ticket."""\n    return x\n'
-    found = [(s[2], s[4]) for s in docs.comment_spans(text, "python") if s[3] == "docstring"]
+    found = [(s[3], s[5]) for s in docs.comment_spans(text, "python") if s[4] == "docstring"]
     assert found == [(before.count("\n") + 1, "Moves every ticket.")]
 
 
@@ -310,3 +310,10 @@ def test_canonical_layout():
     assert origin.emit(squeezed, "c") == origin.emit(code, "c")
     assert origin.judge("a.py", None, "D = '" + "QUJD" * 40 + "'\n")[:2] == ("data", "layout")
     assert origin.judge("gen/a.py", None, None)[:2] == ("generated", "path") and origin.emit("}}}", "c") and origin.emit("", "go") == []
+
+
+def test_intervals_of_comments_end_at_the_next_statement():
+    text = "// A comment that says enough in words.\n\nint x = 1;\nint f() {\n}\n"
+    assert [s[2:4] for gap in (0, 1, 5) for s in docs.comment_spans(text, "c", gap)] == [(2, 2), (2, 3), (2, 3)]
+    deco = "@a\n@b(1)\ndef f():\n    'Says enough in a line here.'\n"
+    assert docs.comment_spans(deco, "python")[0][:5] == (4, 4, 1, 3, "docstring")

@@ -217,3 +217,15 @@ def test_queries_run(name, spark, data):
         for t in ("code_repo", "size_limits"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
         assert sorted(map(tuple, rows)) == sorted(con.sql(SQL[name]).fetchall())
+
+
+def test_the_nearest_comment_is_taken_and_statements_reject(spark):
+    far, near = "// Counts every closed ticket of the shelf.\n", "// Moves every open ticket to the shelf.\n"
+    pad = "int y;\n" * 62  # intervals across stretches of lines
+    text = pad + far + "\n" + near + "\n\nint f() {\n}\n" + far + "int x = 1;\nint g() {\n}\n"
+    files = spark.createDataFrame([(1, "a.c", "c", text)] * 2, "file_id bigint, file_path string, language string, content string")
+    line = text[: text.index("int f")].count("\n") + 1
+    kind = "symbol_id bigint, file_id bigint, name string, symbol_type string, start_line int, params array<string>"
+    symbols = spark.createDataFrame([(1, 1, "f", "function", line, None), (2, 1, "g", "function", line + 4, None)] * 2, kind)
+    assert [(r.symbol_id, r.comment) for r in C.documented(symbols, files, 5).collect()] == [(1, near.strip())]
+    assert C.documented(symbols, files, 0).count() == 0
