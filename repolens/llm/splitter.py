@@ -1,12 +1,16 @@
-"""Cutting a text into pieces under a limit, at the best seam, each repeating the end of the one before."""
+"""Cutting a text into pieces under a limit, at natural seams, each repeating the end of the one before.
+
+A text is divided by the coarsest separator; what is still too large for a piece is divided by the next finer one, down to
+characters. The units are then packed greedily: a piece takes as many whole units as fit behind its overlap.
+"""
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
-#: Separators from coarse to fine; a cut stands right before (sections) or right after the match.
+#: Separators from coarse to fine (sections, members, paragraphs, lines, sentences, words); a cut stands right after the match.
 _LEVELS = [
     re.compile(r"\n(?=(?:@[\w.]+.*\n)*(?:(?:export |default |public |private |protected |internal |static |async |abstract |final |override )*(?:class|interface|struct|enum|def|func|fun|function|impl|module|namespace|object|trait|type|record)\b|#{1,6} |\[[^\]\n]+\]\s*\n|[\w.-]+:\s*\n))"),
     re.compile(r"\n(?=[ \t]+(?:@[\w.]+.*\n[ \t]+)*(?:(?:export |default |public |private |protected |internal |static |async |abstract |final |override )*(?:class|interface|struct|enum|def|func|fun|function)\b|(?:public|private|protected|internal|static) ))"),
@@ -24,36 +28,48 @@ class Piece(NamedTuple):
     overlap: int
 
 
+def units(text: str, room: int) -> list[int]:
+    """Ends of the units of a text, none longer than `room`: recursively divided by the hierarchy of separators. A unit that fits is not
+    divided further; one without any separator is cut every `room` characters, never between CR and LF if room is above 1."""
+    ends: list[int] = []
+    todo = [(0, len(text), 0)]  # a stack instead of recursion: parts still to look at, the next one last
+    seams: dict[int, list[int]] = {}
+    while todo:
+        a, e, level = todo.pop()
+        if e - a <= room:
+            ends.append(e)
+        elif level == len(_LEVELS):
+            while e - a > room:
+                a += room
+                if room > 1 and text[a - 1] == "\r" and text[a] == "\n":
+                    a -= 1
+                ends.append(a)
+            ends.append(e)
+        else:
+            if level not in seams:
+                seams[level] = [m.end() for m in _LEVELS[level].finditer(text)]
+            at = seams[level]
+            inner = [a, *at[bisect_right(at, a) : bisect_left(at, e)], e]
+            todo += [(x, y, level + 1) for x, y in zip(inner[-2::-1], inner[:0:-1], strict=True)]
+    return ends
+
+
 def cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of each piece. Pieces have at most limit characters; each but the first begins overlap characters
-    before the end of the one before it. An overlap of half the limit or more is reduced to half of it, so that every
-    piece brings something new."""
-    if limit < 1:
-        raise ValueError("limit must be positive")
+    """(start, end) of each piece. Pieces have at most limit characters; each but the first begins exactly `overlap` characters
+    before the end of the one before it - or at the text's start, if less than that stands before. Overlap must be below the limit."""
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError("limit must be positive, overlap at least 0 and below the limit")
     n = len(text)
     if n <= limit:
         return [(0, n)] if n else []
-    overlap = max(0, min(overlap, (limit - 1) // 2))
-    seams = [[m.end() for m in level.finditer(text)] for level in _LEVELS]
-    out, start, new = [], 0, 0
+    ends = units(text, limit - overlap)
+    out, start, k = [], 0, 0
     while True:
-        top = start + limit
-        if top >= n:
-            out.append((start, n))
+        j = bisect_right(ends, start + limit, k) - 1  # the next unit always fits behind the overlap
+        out.append((start, ends[j]))
+        if ends[j] == n:
             return out
-        low = max(new + 1, start + (limit + overlap) // 2)
-        end = 0
-        for level in seams:
-            k = bisect_right(level, top) - 1
-            if k >= 0 and level[k] >= low:
-                end = level[k]
-                break
-        if not end:
-            end = top
-            if text[end - 1] == "\r" and text[end] == "\n" and end - 1 > new:
-                end -= 1
-        out.append((start, end))
-        start, new = end - overlap, end
+        start, k = max(0, ends[j] - overlap), j + 1
 
 
 def pieces(text: str | None, limit: int, overlap: int, start_line: int | None = None, end_line: int | None = None) -> list[Piece]:

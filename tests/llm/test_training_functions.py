@@ -129,15 +129,32 @@ def test_secrets():
     assert secrets.lines(None) == [] and secrets.mask(None) is None
 
 
-@given(st.text(alphabet="ab \n.;{}\r", max_size=400), st.integers(2, 60), st.integers(0, 40))
+@given(st.text(alphabet="ab \n.;{}\r", max_size=400), st.integers(1, 60), st.integers(0, 59))
 @settings(max_examples=300, deadline=None)
 def test_pieces_put_together_give_the_text(text, limit, overlap):
+    overlap = min(overlap, limit - 1)
     ps = splitter.pieces(text, limit, overlap, 10, 10 + text.count("\n"))
     assert "".join(p.content[p.overlap :] for p in ps) == text
-    assert all(len(p.content) <= limit for p in ps) and all(p.overlap == min(overlap, (limit - 1) // 2) for p in ps[1:])
+    assert all(len(p.content) <= limit for p in ps)
+    ends = [sum(len(p.content) - p.overlap for p in ps[: k + 1]) for k in range(len(ps))]
+    assert all(p.overlap == min(overlap, e) for p, e in zip(ps[1:], ends, strict=False))
     assert all(10 <= p.start_line <= p.end_line for p in ps)
 
 
+def test_overlaps_must_be_below_the_limit():
+    assert [p.overlap for p in splitter.pieces("x" * 120, 50, 40)][1:] == [40] * 7
+    for limit, overlap in ((10, 10), (10, 11), (0, 0), (5, -1)):
+        with pytest.raises(ValueError):
+            splitter.pieces("x" * 100, limit, overlap)
+
+
+def test_units_are_as_coarse_as_fits():
+    text = "def a():\n    x = 1\n\ndef b():\n" + "    call_of(something, else_)\n" * 10 + "\ndef c():\n    return 1\n"
+    ends = splitter.units(text, 80)
+    assert text.index("def b") in ends and text.index("def c") in ends and text.index("    x = 1") not in ends
+    assert all(text[e - 1] == "\n" for e in ends[:-1])
+
+
 def test_pieces_cut_at_seams():
     text = "\n".join(f"def f{i}():\n    return {i}\n" for i in range(40))
     ps = splitter.pieces(text, 200, 0, 1, text.count("\n") + 1)
