@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.batches import map_batches, map_rows
+from ..operators.collections import top_per_group
 from ..session import checkpoint
 from . import language, leaks, packing
 
@@ -124,12 +125,23 @@ RUN, PASSAGE, RANK, COSINE = 13, 64, 48, 0.3
 PARAPHRASE_COSINE = 0.6  # of paraphrases only; exact runs always need COSINE
 
 
+ITEMS, ITEM_BYTES = 20_000, 1 << 25  # test items searched at once, and characters of their texts; more are searched in blocks
+
+
+def _item_blocks(items: DataFrame) -> list[DataFrame]:
+    """items in blocks of about `ITEMS` rows and `ITEM_BYTES` characters at most, by hash of the item's id and text."""
+    rows = items.select("item_id", "query").filter("query IS NOT NULL").distinct()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("query")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // ITEM_BYTES))
+    if blocks == 1:
+        return [rows]
+    rows = checkpoint(rows.withColumn("_b", F.pmod(F.xxhash64("item_id", "query"), F.lit(blocks))))
+    return [rows.filter(F.col("_b") == k).drop("_b") for k in range(blocks)]
+
+
 def _eval_items(items: DataFrame, run: int, passage: int) -> leaks.Items:
-    """The test set is small by nature; it is read in one piece, up to a million items."""
-    rows = items.select("item_id", "query").distinct().limit(1_000_001).collect()
-    if len(rows) > 1_000_000:
-        raise ValueError("more than a million test items; search them in blocks")
-    return leaks.Items(sorted((r.item_id, r["query"] or "") for r in rows), run, passage)
+    """One block of test items, read in one piece."""
+    return leaks.Items(sorted((r.item_id, r["query"]) for r in items.collect()), run, passage)
 
 
 def _add_up(df: DataFrame, parts: int) -> DataFrame:
@@ -159,7 +171,7 @@ class LeakSearch:
     fit: documents are normalised and cut into overlapping passages of word ids (words of test items only; all others
     are one gap); inverse passage frequencies are counted over all passages; a randomised range finder (Y = A'(A W) over
     all passages, then QR) gives the `rank` leading directions of the TF-IDF passage matrix. Data on the driver are
-    bounded by the test items' vocabulary, never by the documents.
+    bounded by the vocabulary of a block of test items, never by the documents.
     """
 
     def __init__(self, documents: DataFrame, items: DataFrame, run: int = RUN, passage: int = PASSAGE, rank: int = RANK, seed: int = 7):
@@ -211,23 +223,27 @@ class LeakSearch:
     def search(self, cosine: float = COSINE, paraphrase: float | None = None, paraphrase_cosine: float = PARAPHRASE_COSINE) -> DataFrame:
         """(doc_id, item_id, run, share, answer) for passages whose latent cosine with a window of an item reaches `cosine`.
 
-        run: the passage holds `run` consecutive words of the item. With `paraphrase`, passages that hold at least this
-        share of the item's words in order (longest common subsequence) and most of its rarest words - which stand for
-        an answer, as items have none - are reported too, if the cosine reaches `paraphrase_cosine` as well. Without it
-        only exact runs are; they are the same ones either way.
+        Every pair of a passage and an item whose cosine is high enough is a candidate. Its longest common subsequence must have
+        `run` words; then run says whether it holds `run` words of the item in a row (exact check). With `paraphrase`,
+        pairs without such a run whose common subsequence is at least this share of the shorter text and which hold most of the item's
+        rarest words - these stand for an answer, as items have none - are reported too, if the cosine reaches
+        `paraphrase_cosine` as well. The exact runs are the same ones either way.
         """
-        found, shared, idf, basis = self.items, self.shared, self.idf, self.basis
+        found, idf, basis = self.items, self.idf, self.basis
         schema = "doc_id bigint, item_id bigint, run boolean, share double, answer double"
+        spark = self.encoded.sparkSession
         if not found.vocabulary or not found.windows:
-            return self.encoded.sparkSession.createDataFrame([], schema)
+            return spark.createDataFrame([], schema)
         rows = leaks.Rows([w for _, w in found.windows], idf).times(basis)
         windows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
         owner = np.array([k for k, _ in found.windows])
         rare = [set(np.unique(ids)[np.argsort(-idf[np.unique(ids)], kind="stable")[:5]].tolist()) for _, ids in found.items]
         run = found.run
+        shared = spark.sparkContext.broadcast((found, idf, basis, windows, owner, rare))  # bounded by a block of test items
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            it = shared.value
+            it, idf, basis, windows, owner, rare = shared.value
+            at: dict[int, dict] = {}  # places of the words of items met so far
             out: set[tuple] = set()
             for docs, passages in _passages(batches, it):
                 m = leaks.Rows(passages, idf).times(basis)
@@ -236,23 +252,31 @@ class LeakSearch:
                 candidates = np.flatnonzero(near.max(1) >= cosine)
                 if not len(candidates):
                     continue
-                may = leaks.with_run([passages[i] for i in candidates], run)
+                may = leaks.with_run([passages[i] for i in candidates], run)  # passages without such a row of words have no exact run
                 for i, exact in zip(candidates.tolist(), may.tolist(), strict=True):
                     if not exact and paraphrase is None:
                         continue
                     p = passages[i]
-                    near_items = set(owner[near[i] >= cosine].tolist())
-                    hit = set()
-                    if exact:
-                        whole = np.flatnonzero(np.convolve((p >= 0).astype(np.int32), np.ones(run, np.int32), "valid") == run)
-                        hit = {k for a in whole for k in it.runs.get(p[a : a + run].tobytes(), ()) if k in near_items}
-                        out.update((docs[i], it.items[k][0], True, None, None) for k in hit)
-                    if paraphrase is not None:
-                        have = set(p.tolist())
-                        for k in set(owner[near[i] >= max(cosine, paraphrase_cosine)].tolist()) - hit:
-                            ids = it.items[k][1]
-                            answer = len(rare[k] & have) / max(1, len(rare[k]))
-                            if answer >= 0.6 and (n := leaks.longest_common(ids, p)) >= max(run, paraphrase * min(len(ids), len(p))):
+                    words = p.tolist()
+                    starts = np.flatnonzero(np.convolve((p >= 0).astype(np.int32), np.ones(run, np.int32), "valid") == run) if exact else ()
+                    runs = [p[a : a + run].tobytes() for a in starts]
+                    close = set(owner[near[i] >= max(cosine, paraphrase_cosine)].tolist()) if paraphrase is not None else ()
+                    for k in set(owner[near[i] >= cosine].tolist()):
+                        if not exact and k not in close:
+                            continue
+                        if k not in at:
+                            at[k] = leaks.places(it.items[k][1])
+                        if sum(map(at[k].__contains__, words)) < run:
+                            continue
+                        ids = it.items[k][1]
+                        n = leaks.longest_common(at[k], len(ids), words)
+                        if n < run:
+                            continue
+                        if any(k in it.runs.get(r, ()) for r in runs):
+                            out.add((docs[i], it.items[k][0], True, None, None))
+                        elif k in close and n >= paraphrase * min(len(ids), len(p)):
+                            answer = len(rare[k].intersection(words)) / max(1, len(rare[k]))
+                            if answer >= 0.6:
                                 out.add((docs[i], it.items[k][0], False, n / len(ids), answer))
             cols = list(zip(*sorted(out, key=str), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64()), strict=True)],
@@ -281,21 +305,32 @@ def _passages(batches: Iterator[pa.RecordBatch], items: leaks.Items, block: int
         yield docs, passages
 
 
+def _leaks(documents: DataFrame, items: DataFrame, paraphrase: float | None = None) -> DataFrame:
+    """Finds of all items, a search for each block of them."""
+    parts = [LeakSearch(documents, block).search(paraphrase=paraphrase) for block in _item_blocks(items)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of documents that hold 13 consecutive words of an item."""
-    return LeakSearch(documents, items).search().filter("run").select("doc_id", "item_id").distinct()
+    return _leaks(documents, items).filter("run").select("doc_id", "item_id").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame, paraphrase: float = 0.6) -> DataFrame:
     """Exact and paraphrased leaks: (doc_id, item_id, exact, share, answer), one row a pair."""
-    found = LeakSearch(documents, items).search(paraphrase=paraphrase)
+    found = _leaks(documents, items, paraphrase)
     return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("exact"), F.max("share").alias("share"), F.max("answer").alias("answer"))
 
 
 # --- 9 -------------------------------------------------------------------------------------------------------------
 def language_model(samples: DataFrame, most: int = language.MAX_SAMPLES) -> language.Model:
-    """Fitted on a bounded sample (`most` rows) of clean labelled texts."""
-    rows: list[Row] = samples.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL").limit(most).collect()
+    """Fitted on a bounded sample of clean labelled texts: at most `most` rows, equally many of each language, chosen by hash."""
+    known = samples.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
+    each = max(1, most // max(1, known.select("lang").distinct().count()))
+    rows: list[Row] = top_per_group(known, ["lang"], each, F.xxhash64("text"), F.col("text")).select("lang", "text").collect()
     return language.train([(r.lang, r.text) for r in rows])
 
 

@@ -62,7 +62,7 @@ class Model:
                 if i == len(c["rows"]):
                     c["rows"] = np.vstack([c["rows"], np.zeros_like(c["rows"])])
                 ws, ends = token(t)
-                f = [x for w in ws for x in features(w[:40])]
+                f = [x for w in ws for x in features(w)]
                 if f:
                     c["rows"][i, :-3] = self.scores[f].sum(0)
                 c["rows"][i, -3:] = len(f), len(ws), ends
@@ -81,7 +81,7 @@ class Model:
         """Summed scores of lists of words."""
         out = np.zeros((len(texts), len(self.langs) + 1), np.float32)
         for i, ws in enumerate(texts):
-            f = [x for w in ws for x in features(w[:40])]
+            f = [x for w in ws for x in features(w)]
             if f:
                 out[i, :-1] = self.scores[f].sum(0)
             out[i, -1] = len(f)
@@ -91,7 +91,7 @@ class Model:
 def train(samples: list[tuple[str, str]], epochs: int = 30, rate: float = 8.0, seed: int = 1, reject: float = 0.5) -> Model:
     """samples: (language, clean text). Sentences of a fifth of the samples are held out for the temperature."""
     rng = np.random.default_rng(seed)
-    samples = sorted(samples)[:MAX_SAMPLES]
+    samples = sorted(samples)
     langs = sorted({a for a, _ in samples})
     of = {a: i for i, a in enumerate(langs)}
 

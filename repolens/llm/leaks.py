@@ -122,12 +122,21 @@ def with_run(passages: list[np.ndarray], run: int) -> np.ndarray:
     return out
 
 
-def longest_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two id arrays (ids below 0 match nothing)."""
-    best = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        if x < 0:
-            continue
-        match = np.concatenate([[0], best[:-1] + (b == x)])
-        best = np.maximum.accumulate(np.maximum(best, match))
-    return int(best[-1])
+def places(ids: np.ndarray) -> dict[int, int]:
+    """For each word id the positions it has in ids, as bits."""
+    out: dict[int, int] = {}
+    for i, x in enumerate(ids.tolist()):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def longest_common(at: dict[int, int], size: int, b: list[int]) -> int:
+    """Length of the longest common subsequence of a list, given by its places and size, and b (ids below 0 match nothing). All
+    positions of the first list are worked on at once, as bits of one number."""
+    full = (1 << size) - 1
+    v = full
+    for x in b:
+        u = v & at.get(x, 0) if x >= 0 else 0
+        if u:
+            v = (v + u | v - u) & full
+    return size - v.bit_count()

@@ -215,7 +215,16 @@ def test_leak_words():
                   "the _quick_ [brown](https://x.example/a) fox jumps over 12 dogs", "// the quick\n// brown fox jumps over 12 dogs"):
         assert leaks.words(dirty) == plain, dirty
     assert leaks.words("a\n12. b") == ["a", "b"] and leaks.words("a\n12. b", numbers=False) == ["a", "12", "b"]
-    assert leaks.longest_common(np.array([1, 2, 3, 4]), np.array([2, -1, 4, 1])) == 2
+    common = lambda a, b: leaks.longest_common(leaks.places(np.array(a)), len(a), b)
+    assert common([1, 2, 3, 4], [2, -1, 4, 1]) == 2 and common([], [1]) == common([1, 1], []) == 0
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = [rng.randrange(5) for _ in range(rng.randrange(20))], [rng.randrange(-1, 5) for _ in range(rng.randrange(20))]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert common(a, b) == t[-1][-1]
 
 
 def test_language_model_on_held_out_sentences():

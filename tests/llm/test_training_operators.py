@@ -229,3 +229,10 @@ def test_the_nearest_comment_is_taken_and_statements_reject(spark):
     symbols = spark.createDataFrame([(1, 1, "f", "function", line, None), (2, 1, "g", "function", line + 4, None)] * 2, kind)
     assert [(r.symbol_id, r.comment) for r in C.documented(symbols, files, 5).collect()] == [(1, near.strip())]
     assert C.documented(symbols, files, 0).count() == 0
+
+
+def test_more_items_than_a_block_are_searched_in_blocks(spark, data, monkeypatch):
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
+    whole = {tuple(r) for r in T.leaked(docs, items).collect()}
+    monkeypatch.setattr(T, "ITEMS", 120)
+    assert {tuple(r) for r in T.leaked(docs, items.union(items)).collect()} == whole
