@@ -3,7 +3,8 @@
 A word's features are itself and its character 2- to 4-grams with word marks, hashed into buckets. A text's vector is
 the average of its features' embeddings; a softmax over languages follows. After training, embedding and output layer
 are multiplied out once, so that a word costs one look-up of its ready scores. Confidences are calibrated by a
-temperature fitted on held-out sentences, and a sentence below the rejection level has no language.
+temperature fitted on held-out pieces of one and of two languages; a sentence below the rejection level, which is fitted on
+the same pieces, has no language.
 """
 
 from __future__ import annotations
@@ -88,8 +89,9 @@ class Model:
         return out
 
 
-def train(samples: list[tuple[str, str]], epochs: int = 30, rate: float = 8.0, seed: int = 1, reject: float = 0.5) -> Model:
-    """samples: (language, clean text). Sentences of a fifth of the samples are held out for the temperature."""
+def train(samples: list[tuple[str, str]], epochs: int = 30, rate: float = 8.0, seed: int = 1, reject: float | None = None) -> Model:
+    """samples: (language, clean text). Sentences of a fifth of the samples are held out for temperature and rejection level, unless
+    one is given."""
     rng = np.random.default_rng(seed)
     samples = sorted(samples)
     langs = sorted({a for a, _ in samples})
@@ -128,20 +130,45 @@ def train(samples: list[tuple[str, str]], epochs: int = 30, rate: float = 8.0, s
     held = [samples[i] for i in order[: max(1, len(samples) // 5)]]
     kept = [samples[i] for i in order[max(1, len(samples) // 5) :]]
     e, w, b = fit(sentences(kept))
-    model = Model(langs, e @ w, b, reject=reject)
-    test = sentences(held)
-    if test:
-        ys = np.array([y for y, _ in test])
-        summed = model.sums([ws for _, ws in test])
-        best = None
-        for t in (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0):
-            model.temperature = t
-            p = model.probabilities(summed)
-            loss = -np.log(p[np.arange(len(ys)), ys] + 1e-9).mean()
-            if best is None or loss < best[0]:
-                best = loss, t, float((p.argmax(1) == ys).mean())
+    model = Model(langs, e @ w, b)
+    model.temperature, model.reject, held_out = _calibrated(model, sentences(held), rng)
     e, w, b = fit(sentences(samples))
-    return Model(langs, e @ w, b, temperature=best[1] if test else 1.0, reject=reject, held_out=best[2] if test else 0.0)
+    return Model(langs, e @ w, b, temperature=model.temperature, reject=reject or model.reject, held_out=held_out)
+
+
+def _calibrated(model: Model, test: list[tuple[int, list[str]]], rng: np.random.Generator, most: int = 4000) -> tuple[float, float, float]:
+    """(temperature, rejection level, accuracy) from held-out sentences.
+
+    Pure pieces are three words of a sentence; mixed ones are halves of sentences of two languages, which have no language of
+    their own. The temperature makes the probabilities of both most likely (a mixed piece's two languages share its weight). The
+    rejection level is where as large a share of the pure pieces falls below it as of the mixed ones stands above it."""
+    pure = [(y, ws[i : i + 3]) for y, ws in test for i in range(0, len(ws) - 2, 3)]
+    if len({y for y, _ in test}) < 2 or not pure:
+        return 1.0, 0.5, 0.0
+    pure = [pure[i] for i in rng.permutation(len(pure))[:most]]
+    mixed = []
+    for i, j in zip(rng.integers(0, len(test), most), rng.integers(0, len(test), most), strict=True):
+        (a, x), (b, y) = test[i], test[j]
+        if a != b and min(len(x), len(y)) >= 4:
+            n = min(len(x), len(y)) // 2
+            mixed.append((a, b, x[:n] + y[-n:]))
+    sp, sm = model.sums([ws for _, ws in pure]), model.sums([ws for *_, ws in mixed])
+    ys = np.array([y for y, _ in pure])
+    one, two = np.array([a for a, *_ in mixed], int), np.array([b for _, b, _ in mixed], int)
+    best = None
+    for t in np.geomspace(0.02, 4, 40):
+        model.temperature = float(t)
+        p, q = model.probabilities(sp), model.probabilities(sm)
+        loss = -np.log(p[np.arange(len(ys)), ys] + 1e-9).mean()
+        if len(mixed):
+            r = np.arange(len(mixed))
+            loss -= (np.log(q[r, one] + 1e-9) / 2 + np.log(q[r, two] + 1e-9) / 2).mean()
+        if best is None or loss < best[0]:
+            best = loss, float(t), p.max(1), q.max(1), float((p.argmax(1) == ys).mean())
+    _, t, p, q, right = best
+    levels = np.linspace(0.3, 0.95, 66)
+    reject = min(levels, key=lambda x: abs((p < x).mean() - (q >= x).mean())) if len(mixed) else 0.5
+    return t, float(reject), right
 
 
 # --- from a text to its sentences of running text ---------------------------------------------------------------------
