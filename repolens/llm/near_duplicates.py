@@ -5,15 +5,16 @@ Texts with the same words form a class; all work is on classes. Every class send
 A trie joins its parity sketches with itself under an exact error budget. What remains is checked on the sets.
 
 A trie with more than `BLOCK` members is cut into blocks; each pair of blocks is a task's work of its own, so that no group
-meets in one task. Order by rarity uses counts of all shingles in a table of fixed size; a shingle many share comes
-last, so a passage that a third of all texts hold roots no trie unless these texts are alike as a whole.
+meets in one task. Order by rarity uses counts of all shingles in a table of counters that grows with their number, up to a
+fixed bound; a shingle many share comes last, so a passage that a third of all texts hold roots no trie unless these texts are
+alike as a whole. Any order keeps the result exact; the counts only make tries small.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from ..session import checkpoint
 from . import trie
 
 THRESHOLD, LEAST, N = 0.6, 40, 3
-TABLE = 1 << 22  # counters of shingles, whatever the number of shingles
+TABLES = (1 << 22, 1 << 25)  # least and most counters of shingles; the bound keeps what each task holds at 128 MB
+MARKS = (1 << 23, 1 << 28)  # least and most bits of the table of class numbers in candidates: 1 to 32 MB
+RANGES = 64  # parts of a table that are added up by tasks of their own
 BLOCK = 512  # members of a trie that one task joins
 COPIES = 64  # up to so many identical texts come out as all their pairs, more as stars around two of them
 
@@ -57,27 +60,55 @@ def class_members(chunks: DataFrame, n: int = N, least: int = LEAST) -> DataFram
     return map_batches(rows, batch, "chunk_id string, project_id string, file_path string, class_id binary, text_id binary").distinct()
 
 
-def _shingle_counts(classes: DataFrame) -> np.ndarray:
-    """Counters of all shingles by hash, added up in two rounds of tasks; packed, as most are small."""
+def _table_size(wanted: int, least: int, most: int) -> int:
+    return min(most, max(least, 1 << max(0, wanted - 1).bit_length()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.uint32)
-        for b in batches:
-            np.add.at(total, np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32) % TABLE, 1)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["blob"])
+
+def _united(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], unite: np.ufunc) -> np.ndarray:
+    """A table that each task of df makes, united over all tasks: it is cut into ranges, and each range is a task's work of its own.
+    At most two tables a core are made, so what one range reads grows with the cluster, not with the data."""
+    spark = df.sparkSession
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > tasks:
+        df = df.coalesce(tasks)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, part in enumerate(np.split(make(batches), RANGES)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "blob"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TABLE, np.uint64)
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                v = np.frombuffer(zlib.decompress(x.as_py()), kind)
+                total[k] = unite(total[k], v) if k in total else v
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["part", "blob"])
+
+    empty = make(iter(()))
+    kind = empty.dtype
+    out = np.split(empty, RANGES)
+    for r in df.mapInArrow(parts, "part int, blob binary").repartition("part").mapInArrow(add, "part int, blob binary").collect():  # one table
+        out[r.part] = np.frombuffer(zlib.decompress(r.blob), kind)
+    return np.concatenate(out)
+
+
+def _shingle_counts(classes: DataFrame) -> np.ndarray:
+    """Counters of all shingles by hash. A counter that would exceed 32 bits stays at its highest value."""
+    size = _table_size((classes.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 16, *TABLES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(size, np.uint32)
         for b in batches:
-            for x in b.column(0):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
-        total = np.minimum(total, 2**32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["blob"])
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint32) & np.uint32(size - 1), minlength=size).astype(np.uint32)
+        return total
 
-    parts = max(1, int(classes.rdd.getNumPartitions() ** 0.5))
-    counted = classes.select("shingles").mapInArrow(count, "blob binary")
-    rows = counted.repartition(parts).mapInArrow(add, "blob binary").coalesce(1).mapInArrow(add, "blob binary").collect()
-    return np.frombuffer(zlib.decompress(rows[0].blob), np.uint32) if rows else np.zeros(TABLE, np.uint32)
+    return _united(classes.select("shingles"), count, _add_up)
+
+
+def _add_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a.astype(np.uint64) + b, 2**32 - 1).astype(np.uint32)
 
 
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -86,18 +117,19 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
     # numbers instead of class ids travel with the postings; they are stable, as the classes are written first
     classes = checkpoint(classes.select("class_id", "shingles"))
     source = classes.select(F.monotonically_increasing_id().alias("k"), "shingles", "class_id")
-    shared = spark.sparkContext.broadcast(_shingle_counts(classes))  # fixed size: 16 MB
+    shared = spark.sparkContext.broadcast(_shingle_counts(classes))  # 16 MB, at most 128 MB
 
     def prefixes(with_sketch: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = shared.value
+            last = np.uint32(len(counts) - 1)
             for b in batches:
                 ids, blobs = b.column(0).to_pylist(), b.column(1).to_pylist()
                 keys, owners = [], []
                 sizes, sketches = [], []
                 for k, blob in enumerate(blobs):
                     s = np.frombuffer(blob, np.uint32)
-                    c = counts[s % TABLE]
+                    c = counts[s & last]
                     most = len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1
                     order = np.lexsort((s, c))[:most]
                     order = order[c[order] > 1]  # a counter of one: no other text has it
@@ -109,7 +141,7 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
                 key = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
                 if not with_sketch:
                     # a counter is never below the true number, so only these can root a large trie
-                    u, n = np.unique(key[counts[key % TABLE] > block], return_counts=True)
+                    u, n = np.unique(key[counts[key & int(last)] > block], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n, pa.int64())], names=["shingle", "n"])
                     continue
                 who = np.concatenate(owners) if owners else np.zeros(0, np.int64)
@@ -184,12 +216,13 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
 
     candidates = checkpoint(groups.mapInArrow(tries, "x bigint, y bigint").distinct())
     wanted = _marks(candidates)
-    marks = spark.sparkContext.broadcast(wanted)  # fixed size: 1 MB; lets through every number in question and few others
+    marks = spark.sparkContext.broadcast(np.packbits(wanted))  # 1 MB, at most 32 MB; lets through every number in question and few others
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(marks.value, np.uint8))
+        bits = marks.value
         for b in batches:
-            yield b.filter(pa.array(bits[_place(b.column(0).to_numpy())].astype(bool)))
+            at = _place(b.column(0).to_numpy(), 8 * len(bits))
+            yield b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
     sets = checkpoint(source.mapInArrow(marked, "k bigint, shingles binary, class_id binary"))
     left = sets.select(F.col("k").alias("x"), F.col("shingles").alias("sa"), F.col("class_id").alias("a"))
@@ -208,33 +241,22 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = B
     return map_batches(candidates.join(left, "x").join(right, "y").select("a", "b", "sa", "sb"), verify, "a binary, b binary, similarity double")
 
 
-MARKS = 1 << 23
-
+def _place(k: np.ndarray, size: int) -> np.ndarray:
+    return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
-def _place(k: np.ndarray) -> np.ndarray:
-    return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)).astype(np.int64)
 
+def _marks(candidates: DataFrame) -> np.ndarray:
+    """A table of the numbers in candidates, a truth value a place."""
+    size = _table_size(16 * candidates.count(), *MARKS)
 
-def _marks(candidates: DataFrame) -> bytes:
-    """A bit table of the numbers in candidates, united in two rounds of tasks."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MARKS, bool)
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(size, bool)
         for b in batches:
-            bits[_place(b.column(0).to_numpy())] = True
-            bits[_place(b.column(1).to_numpy())] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["blob"])
+            bits[_place(b.column(0).to_numpy(), size)] = True
+            bits[_place(b.column(1).to_numpy(), size)] = True
+        return bits
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MARKS // 8, np.uint8)
-        for b in batches:
-            for x in b.column(0):
-                bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["blob"])
-
-    parts = max(1, int(candidates.rdd.getNumPartitions() ** 0.5))
-    rows = candidates.select("x", "y").mapInArrow(mark, "blob binary").repartition(parts).mapInArrow(unite, "blob binary").coalesce(1).mapInArrow(unite, "blob binary").collect()
-    return zlib.decompress(rows[0].blob) if rows else bytes(MARKS // 8)
+    return _united(candidates.select("x", "y"), mark, np.logical_or)
 
 
 def _columns(t: pa.Table) -> list:
@@ -283,16 +305,25 @@ def similar_pairs(chunks: DataFrame, threshold: float = THRESHOLD, copies: int =
 
 
 def near_duplicate_groups(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row a chunk with at least 40 words: (chunk_id, class_id, links, group_id); links counts similar other classes,
-    group_id is the smallest class id that chains of links reach."""
+    """One row a chunk with at least 40 words: (chunk_id, class_id, links, group_id); a class has the texts with the same words and
+    the smallest of its chunk ids as its id, links counts similar other classes, group_id is the smallest class id that chains of
+    links reach."""
     members, links = _prepared(chunks, threshold)
-    members, links = members.select("chunk_id", "project_id", "file_path", "class_id").distinct(), checkpoint(links)
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    counts = both.groupBy("a").agg(F.count("*").alias("links"))
-    hexed = links.select(F.lower(F.hex("a")).alias("src"), F.lower(F.hex("b")).alias("dst"))
-    groups = connected_components(hexed).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    heads = checkpoint(members.groupBy("class_id").agg(F.min("chunk_id").alias("head")))
+    a, b = (heads.select(F.col("class_id").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    linked = checkpoint(links.join(a, "a").join(b, "b").select("ha", "hb"))
+    counts = linked.select("ha").union(linked.select("hb")).groupBy(F.col("ha").alias("head")).agg(F.count("*").alias("links"))
+    groups = connected_components(linked.select(F.col("ha").alias("src"), F.col("hb").alias("dst"))).select(F.col("node").alias("head"), F.col("component").alias("group_id"))
     return (
-        members.join(counts.withColumnRenamed("a", "class_id"), "class_id", "left")
-        .select("chunk_id", F.lower(F.hex("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-        .join(groups, "class_id", "left").select("chunk_id", "class_id", "links", F.coalesce("group_id", "class_id").alias("group_id"))
+        members.select("chunk_id", "class_id").distinct().join(heads, "class_id").join(counts, "head", "left").join(groups, "head", "left")
+        .select("chunk_id", F.col("head").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "head").alias("group_id"))
     )
+
+
+def class_pairs(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(class_a, class_b, similarity), class_a < class_b, for all pairs of similar classes, named as in near_duplicate_groups; with
+    its membership they say everything about similar chunks."""
+    members, links = _prepared(chunks, threshold)
+    heads = checkpoint(members.groupBy("class_id").agg(F.min("chunk_id").alias("head")))
+    a, b = (heads.select(F.col("class_id").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    return links.join(a, "a").join(b, "b").select(F.least("ha", "hb").alias("class_a"), F.greatest("ha", "hb").alias("class_b"), "similarity")

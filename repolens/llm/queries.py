@@ -70,6 +70,10 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return N.near_duplicate_groups(table(spark, d, "code_repo"))
 
 
+def p6_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return N.class_pairs(table(spark, d, "code_repo")).withColumn("similarity", F.round("similarity", 9))
+
+
 def _capacity(spark: SparkSession, d: str) -> int:
     return table(spark, d, "size_limits").filter("item_kind = 'document' AND unit = 'token'").agg(F.min("max_size")).first()[0]
 
@@ -99,7 +103,7 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p2_evidence, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p6_found, p6_groups, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
+    f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_handwritten, p2_evidence, p3_found, p3_rates, p4_found, p4_masked, p5_found, p5_pieces, p6_found, p6_groups, p6_class_pairs, p7_containers, p7_fill, p8_found, p8_report, p9_found, p9_passages)
 }
 
 SQL: dict[str, str] = {

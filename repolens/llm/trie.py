@@ -1,33 +1,64 @@
 """Binary trie self-join of bit sketches, and the sketches.
 
-A parity sketch of a set has one bit for each of `BITS` buckets: the parity of how many elements fall into it. Two
+A parity sketch of a set has one bit for each of a number of buckets: the parity of how many elements fall into it. Two
 sketches never differ in more bits than the sets have elements in only one of them, and sets with a Jaccard similarity
 of t or more have at most (1 - t) / (1 + t) * (|A| + |B|) such elements. That is an exact error budget: a pair of trie
-nodes whose bits differ more often can hold no similar pair.
+nodes whose bits differ more often can hold no similar pair. The sketches of different sets differ in nearly half of their bits if
+they have about as many bits as elements, so larger sets get wider sketches; a wide sketch is folded to meet a narrow one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BITS = 128
+#: Bits of a sketch by the size of its set: the first width whose size isn't exceeded.
+WIDTHS = ((96, 128), (192, 256), (1 << 62, 512))
+
+
+def width(size: int) -> int:
+    return next(bits for most, bits in WIDTHS if size <= most)
+
+
+def fold(x: int, bits: int, to: int) -> int:
+    """A sketch of `bits` bits as one of `to` bits."""
+    while bits > to:
+        bits //= 2
+        x = (x >> bits) ^ (x & (1 << bits) - 1)
+    return x
 
 
 def join(sketches: list[int], sizes: list[int], threshold: float, split: int | None = None) -> list[tuple[int, int]]:
     """Index pairs (i < j) within the error budget; with `split`, only pairs of one index below it and one not.
 
-    Two nodes are walked down together, bit by bit; the bits in which they differ add up, and the pair is left as soon as
-    they exceed the budget of the largest sets below them. A node with one sketch left is compared at once (its
-    path has no more branches).
+    Sets are joined by the width of their sketches, each width with itself and with the others.
     """
-    share = (1 - threshold) / (1 + threshold)
     n = len(sketches)
+    by: dict[int, tuple[list[int], list[int]]] = {}
+    for i in range(n):
+        by.setdefault(width(sizes[i]), ([], []))[split is not None and i >= split].append(i)
+    out: list[tuple[int, int]] = []
+    widths = sorted(by)
+    for k, w in enumerate(widths):
+        low, high = by[w]
+        out += _walk(low, low if split is None else high, sketches, sizes, threshold, w)
+        for v in widths[k + 1 :]:
+            folded = {i: sketches[i] for i in (*low, *high)}
+            for i in (*by[v][0], *by[v][1]):
+                folded[i] = fold(sketches[i], v, w)
+            if split is None:
+                out += _walk(low, by[v][0], folded, sizes, threshold, w)
+            else:
+                out += _walk(low, by[v][1], folded, sizes, threshold, w) + _walk(by[v][0], high, folded, sizes, threshold, w)
+    return out
+
+
+def _walk(left: list[int], right: list[int], sketches, sizes: list[int], threshold: float, bits: int) -> list[tuple[int, int]]:
+    """Two nodes are walked down together, bit by bit; the bits in which they differ add up, and the pair is left as soon as
+    they exceed the budget of the largest sets below them. A node with one sketch left is compared at once (its
+    path has no more branches)."""
+    share = (1 - threshold) / (1 + threshold)
     out: list[tuple[int, int]] = []
-    everyone = list(range(n))
-    if split is None:
-        stack = [(everyone, everyone, BITS - 1, 0)]
-    else:
-        stack = [(everyone[:split], everyone[split:], BITS - 1, 0)]
+    stack = [(left, right, bits - 1, 0)]
     while stack:
         a, b, bit, differ = stack.pop()
         same = a is b
@@ -36,9 +67,10 @@ def join(sketches: list[int], sizes: list[int], threshold: float, split: int | N
         if len(a) == 1 or len(b) == 1 or bit < 0 or len(a) * len(b) <= 16:
             mask = (1 << (bit + 1)) - 1
             for k, i in enumerate(a):
-                x, budget = sketches[i], sizes[i]
+                x, size = sketches[i], sizes[i]
+                least, most = threshold * size - 1e-9, size / threshold + 1e-9
                 for j in b[k + 1 :] if same else b:
-                    if differ + ((x ^ sketches[j]) & mask).bit_count() <= share * (budget + sizes[j]) + 1e-9:
+                    if least <= sizes[j] <= most and differ + ((x ^ sketches[j]) & mask).bit_count() <= share * (size + sizes[j]) + 1e-9:
                         out.append((i, j) if i < j else (j, i))
             continue
         if differ > share * (max(sizes[i] for i in a) + max(sizes[i] for i in b)) + 1e-9:
@@ -58,9 +90,11 @@ def join(sketches: list[int], sizes: list[int], threshold: float, split: int | N
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """Parity sketch of an array of distinct uint32 values."""
+    """Parity sketch of an array of distinct uint32 values, of the width of its size."""
+    bits = width(len(shingles))
     x = shingles.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    parity = np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=BITS) & 1
+    bucket = ((x >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64)
+    parity = np.bincount(bits - 1 - bucket, minlength=bits) & 1  # bucket 0 is the lowest bit of the number
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 

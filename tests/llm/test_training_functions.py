@@ -164,13 +164,13 @@ def test_pieces_cut_at_seams():
 @pytest.mark.parametrize("seed", range(6))
 def test_trie_join_loses_no_pair(seed):
     rng = np.random.default_rng(seed)
-    base = [np.unique(rng.integers(0, 2**32, 60, dtype=np.uint32)) for _ in range(8)]
+    base = [np.unique(rng.integers(0, 2**32, n, dtype=np.uint32)) for n in (60, 60, 60, 100, 100, 200, 200, 400)]
     sets = []
     for _ in range(60):
         s = base[rng.integers(0, 8)].copy()
         k = rng.integers(0, 25)
         s[rng.integers(0, len(s), k)] = rng.integers(0, 2**32, k, dtype=np.uint32)
-        sets.append(np.unique(s))
+        sets.append(np.unique(s)[: len(s) - rng.integers(0, len(s) // 4)])
     bits = [int.from_bytes(trie.sketch(s), "big") for s in sets]
     found = set(trie.join(bits, [len(s) for s in sets], 0.6))
     for i in range(60):
@@ -343,3 +343,17 @@ def test_intervals_of_comments_end_at_the_next_statement():
     assert [s[2:4] for gap in (0, 1, 5) for s in docs.comment_spans(text, "c", gap)] == [(2, 2), (2, 3), (2, 3)]
     deco = "@a\n@b(1)\ndef f():\n    'Says enough in a line here.'\n"
     assert docs.comment_spans(deco, "python")[0][:5] == (4, 4, 1, 3, "docstring")
+
+
+def test_wide_sketches_fold_to_narrow_ones_and_prune():
+    rng = np.random.default_rng(3)
+    for size in (90, 150, 300, 2000):
+        s = np.unique(rng.integers(0, 2**32, size, dtype=np.uint32))
+        assert len(trie.sketch(s)) * 8 == trie.width(len(s))
+    s = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint32))
+    wide, part = int.from_bytes(trie.sketch(s), "big"), s[:90]
+    narrow = int.from_bytes(trie.sketch(part), "big")
+    assert (trie.fold(wide, 256, 128) ^ narrow).bit_count() <= len(s) - len(part)
+    for size in (90, 180, 250):  # sets without a common element aren't candidates
+        sets = [np.unique(rng.integers(0, 2**32, size, dtype=np.uint32)) for _ in range(100)]
+        assert len(trie.join([int.from_bytes(trie.sketch(x), "big") for x in sets], [len(x) for x in sets], 0.6)) < 50
