@@ -9,10 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 #: Rows handed to a Python worker at once; bounds its memory when texts are long.
 BATCH_ROWS = 1000
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow in workers that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, row: Callable[..., Iterable[tuple]], schema: str | T.StructType, flush: int = 20_000) -> DataFrame:
     """row(*values) of each row of df gives any number of output rows; values come in df's column order."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -36,7 +44,7 @@ def map_rows(df: DataFrame, row: Callable[..., Iterable[tuple]], schema: str | T
         if out:
             yield made()
 
-    return df.mapInArrow(run, kind)
+    return in_arrow(df, run, kind)
 
 
 def map_batches(df: DataFrame, batch: Callable[..., Iterable[tuple]], schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
@@ -50,7 +58,7 @@ def map_batches(df: DataFrame, batch: Callable[..., Iterable[tuple]], schema: st
                 columns = batch(*(c.to_pylist() for c in b.slice(at, rows).columns))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return in_arrow(df, run, kind)
 
 
 def spread(df: DataFrame) -> DataFrame:

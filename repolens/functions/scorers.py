@@ -66,6 +66,19 @@ def pair_scorer(score: Callable[[str, str], float]):
     return run
 
 
+def guarded(score: Callable[[str, str], float]):
+    """A pair score as an Arrow-batched column function that gives null for all rows of a batch in which it raises."""
+
+    @F.pandas_udf("double")
+    def run(query: pd.Series, content: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([float(score(q, c)) for q, c in zip(query, content, strict=True)], dtype="float64")
+        except Exception:  # noqa: BLE001 - whatever a model raises
+            return pd.Series([None] * len(query), dtype="float64")
+
+    return run
+
+
 @dataclass
 class Answer:
     content: str

@@ -9,8 +9,11 @@ from ..functions import text as X
 
 
 def components(symbols: DataFrame) -> DataFrame:
-    """(project_id, component_id, name, file_path, directory): one row a qualified name and file of a project."""
-    return symbols.select("project_id", F.coalesce("qualified_name", "name").alias("component_id"), "name", "file_path", X.directory("file_path").alias("directory")).distinct()
+    """(project_id, component_id, name, file_path, directory, start_line): one row a qualified name and file of a project, with its first line."""
+    start = F.min("start_line") if "start_line" in symbols.columns else F.lit(0)
+    return symbols.groupBy("project_id", F.coalesce("qualified_name", "name").alias("component_id"), "name", "file_path").agg(start.alias("start_line")).select(
+        "project_id", "component_id", "name", "file_path", X.directory("file_path").alias("directory"), "start_line"
+    )
 
 
 def calls_of(symbols: DataFrame) -> DataFrame:
@@ -21,43 +24,50 @@ def calls_of(symbols: DataFrame) -> DataFrame:
 
 
 def resolve(calls: DataFrame, comps: DataFrame, imports: DataFrame) -> DataFrame:
-    """calls with callee_id and tier: 1 the call is a component's id; 2 an import of the caller's file names it, exactly
-    or as part of an id that ends with the call; 3 a component of the same file whose id ends with .call; 4 a component of
-    that name: the only one, else the first of the caller's directory, else the first; null where nothing is found.
+    """calls with callee_id and tier: 1 the call is a component's id; 2 an import of the caller's file names it: of its candidates, in the
+    order of statements, the first that is a component's id or part of an id that ends with the call, an exact id before such a part; 3 a
+    component of the same file whose id ends with .call; 4 a component of that name: the first of the caller's directory, else the first of
+    all; null where nothing is found. Components come in the order files are walked in (by path), then of lines. Statements come in the
+    order of `position`, if imports have it, else of their qualified names; wildcards name nothing.
 
     Every tier is an equi-join on (project, last segment). Before it, the sides are reduced to what the join keeps - the
-    least id a key, the least a directory - so a name that a third of all components bear meets a call as one row.
+    first component a key, each qualified name once whatever the number of its importers - so a name that a third of all
+    components or files bear meets the other side as one row.
     """
-    c = comps.select("project_id", "component_id", "name", "file_path", "directory").distinct()
+    c = comps.select("project_id", "component_id", "name", "file_path", "directory", F.coalesce("start_line", F.lit(0)).alias("start_line") if "start_line" in comps.columns else F.lit(0).alias("start_line"))
+    c = c.withColumn("at", F.struct("file_path", "start_line", "component_id"))
     keys = ["project_id", "caller_file", "call"]
     wanted = calls.select(*keys).distinct()
+    first = F.min("at").alias("at")
     dotted = c.filter(F.contains("component_id", F.lit("."))).withColumn("call", X.last_segment("component_id"))
 
-    t1 = wanted.join(c.select("project_id", F.col("component_id").alias("call")).distinct(), ["project_id", "call"]).select(*keys, F.lit(1).alias("tier"), F.lit(0).alias("ord"), F.col("call").alias("callee_id"))
-
-    named = imports.filter(~F.col("is_wildcard")).select("project_id", F.col("source_file").alias("caller_file"), F.col("imported_name").alias("call"), "qualified_name")
-    named = wanted.join(named.filter("qualified_name IS NOT NULL").distinct(), keys)
-    ids = c.select("project_id", F.col("component_id").alias("qualified_name")).distinct()
-    t2 = named.join(ids, ["project_id", "qualified_name"]).select(*keys, F.lit(2).alias("tier"), F.lit(0).alias("ord"), F.col("qualified_name").alias("callee_id"))
-    ends = dotted.groupBy("project_id", "call", "component_id").agg(F.lit(1).alias("_one"))
-    t2b = (
-        named.join(ends, ["project_id", "call"]).filter(F.contains("component_id", F.col("qualified_name")))
-        .groupBy(*keys).agg(F.min("component_id").alias("callee_id")).select(*keys, F.lit(2).alias("tier"), F.lit(1).alias("ord"), "callee_id")
-    )
-
-    same = dotted.groupBy("project_id", F.col("file_path").alias("caller_file"), "call").agg(F.min("component_id").alias("callee_id"))
-    t3 = wanted.join(same, keys).select(*keys, F.lit(3).alias("tier"), F.lit(0).alias("ord"), "callee_id")
-
-    near = c.groupBy("project_id", F.col("name").alias("call"), "directory").agg(F.min("component_id").alias("callee_id"))
-    t4a = wanted.withColumn("directory", X.directory("caller_file")).join(near, ["project_id", "call", "directory"]).select(*keys, F.lit(4).alias("tier"), F.lit(0).alias("ord"), "callee_id")
-    anywhere = c.groupBy("project_id", F.col("name").alias("call")).agg(F.min("component_id").alias("callee_id"))
-    t4b = wanted.join(anywhere, ["project_id", "call"]).select(*keys, F.lit(4).alias("tier"), F.lit(1).alias("ord"), "callee_id")
-
-    found = t1
-    for t in (t2, t2b, t3, t4a, t4b):
-        found = found.unionByName(t)
-    best = found.groupBy(*keys).agg(F.min(F.struct("tier", "ord", "callee_id")).alias("b"))
-    return calls.join(best, keys, "left").select(*calls.columns, F.col("b.tier").alias("tier"), F.col("b.callee_id").alias("callee_id"))
+    def tier(df: DataFrame, n: int, pos: Column = F.lit(""), kind: Column = F.lit(0)) -> DataFrame:
+        return df.select(*keys, F.lit(n).alias("tier"), pos.cast("string").alias("pos"), kind.alias("kind"), "at")
+
+    ids = c.groupBy("project_id", F.col("component_id").alias("call")).agg(first)
+    found = tier(wanted.join(ids, ["project_id", "call"]), 1)
+
+    pos = F.lpad(F.col("position").cast("string"), 12, "0") if "position" in imports.columns else F.col("qualified_name")
+    named = imports.filter(~F.col("is_wildcard") & F.col("qualified_name").isNotNull()).groupBy("project_id", F.col("source_file").alias("caller_file"), F.col("imported_name").alias("call"), "qualified_name").agg(F.min(pos).alias("pos"))
+    named = wanted.join(named, keys)
+    candidates = named.select("project_id", "call", "qualified_name").distinct()
+    exact = candidates.join(ids.withColumnRenamed("call", "qualified_name"), ["project_id", "qualified_name"]).withColumn("kind", F.lit(0))
+    ends = dotted.groupBy("project_id", "call", "component_id").agg(first)
+    part = candidates.join(ends, ["project_id", "call"]).filter(F.contains("component_id", F.col("qualified_name"))).groupBy("project_id", "call", "qualified_name").agg(first).withColumn("kind", F.lit(1))
+    cols = ["project_id", "call", "qualified_name", "kind", "at"]
+    met = named.join(exact.select(*cols).unionByName(part.select(*cols)), ["project_id", "call", "qualified_name"])
+    found = found.unionByName(tier(met, 2, F.col("pos"), F.col("kind")))
+
+    same = dotted.groupBy("project_id", F.col("file_path").alias("caller_file"), "call").agg(first)
+    found = found.unionByName(tier(wanted.join(same, keys), 3))
+
+    near = c.groupBy("project_id", F.col("name").alias("call"), "directory").agg(first)
+    found = found.unionByName(tier(wanted.withColumn("directory", X.directory("caller_file")).join(near, ["project_id", "call", "directory"]), 4))
+    anywhere = c.groupBy("project_id", F.col("name").alias("call")).agg(first)
+    found = found.unionByName(tier(wanted.join(anywhere, ["project_id", "call"]), 4, kind=F.lit(1)))
+
+    best = found.groupBy(*keys).agg(F.min(F.struct("tier", "pos", "kind", "at")).alias("b"))
+    return calls.join(best, keys, "left").select(*calls.columns, F.col("b.tier").alias("tier"), F.col("b.at.component_id").alias("callee_id"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:

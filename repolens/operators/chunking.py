@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -61,42 +60,30 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Heading sections of Markdown: (key, section_no, level, heading, section_path, body).
 
     A heading closes the section above it; text before the first heading is a section without heading. section_path
-    holds the headings above with a smaller level. Fences aren't special. Each document folds over its own lines in the
-    JVM; nothing is exploded before sections are whole. Null texts have no sections.
+    holds the headings above with a smaller level. Fences aren't special. Nothing is exploded before sections are whole, and
+    nothing moves: only the headings are folded, bodies are slices between them. Null texts have no sections.
     """
     heading = r"^#{1,6}[ \t]+(.+)$"
-    empty = F.struct(
-        F.lit(0).alias("level"), F.lit("").alias("heading"), F.array().cast("array<struct<l:int,h:string>>").alias("stack"), F.array().cast("array<string>").alias("body")
-    )
 
-    def step(acc: Column, line: Column) -> Column:
+    def found(line: Column, i: Column) -> Column:
         level = F.length(F.regexp_extract(line, r"^(#{1,6})[ \t]", 1))
-        name = X.strip(F.regexp_extract(line, heading, 1))
-        kept = F.filter(acc["cur"]["stack"], lambda s: s["l"] < level)
-        opened = F.struct(
-            level.alias("level"), name.alias("heading"), F.concat(kept, F.array(F.struct(level.alias("l"), name.alias("h")))).alias("stack"),
-            F.array().cast("array<string>").alias("body"),
-        )
-        grown = F.struct(acc["cur"]["level"].alias("level"), acc["cur"]["heading"].alias("heading"), acc["cur"]["stack"].alias("stack"), F.concat(acc["cur"]["body"], F.array(line)).alias("body"))
-        is_heading = line.rlike(heading)
-        return F.struct(
-            F.when(is_heading, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-            F.when(is_heading, opened).otherwise(grown).alias("cur"),
-        )
-
-    kind = "array<struct<level:int,heading:string,stack:array<struct<l:int,h:string>>,body:array<string>>>"
-    folded = F.aggregate(
-        lines(F.col(text)), F.struct(F.array().cast(kind).alias("done"), empty.alias("cur")), step, lambda a: F.concat(a["done"], F.array(a["cur"]))
-    )
-    out = docs.filter(F.col(text).isNotNull()).select(F.col(key), F.posexplode(folded).alias("_i", "s"))
-    out = out.select(
-        key, F.col("_i"), F.col("s.level").alias("level"), F.col("s.heading").alias("heading"),
-        F.array_join(F.transform("s.stack", lambda x: x["h"]), " / ").alias("section_path"), F.array_join("s.body", "\n").alias("body"),
-    )
+        return F.when(line.rlike(heading), F.struct((i + 1).alias("n"), level.alias("l"), X.strip(F.regexp_extract(line, heading, 1)).alias("h")))
+
+    def step(acc: Column, x: Column) -> Column:
+        stack = F.concat(F.filter(acc["stack"], lambda y: y["l"] < x["l"]), F.array(x))
+        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.array_join(F.transform(stack, lambda y: y["h"]), " / "))).alias("out"))
+
+    start = F.struct(F.array().cast("array<struct<n:int,l:int,h:string>>").alias("stack"), F.array().cast("array<string>").alias("out"))
+    part = lambda a, e: F.array_join(F.slice("_ls", a, e - a), "\n")
+    end = lambda k: F.coalesce(F.get("_hs", k)["n"], F.size("_ls") + 1)
+    opening = F.struct(F.lit(0).alias("level"), F.lit("").alias("heading"), F.lit("").alias("section_path"), part(F.lit(1), end(F.lit(0))).alias("body"))
+    rest = F.transform("_hs", lambda x, k: F.struct(x["l"].alias("level"), x["h"].alias("heading"), F.get("_paths", k).alias("section_path"), part(x["n"] + 1, end(k + 1)).alias("body")))
+    d = docs.filter(F.col(text).isNotNull()).select(F.col(key), lines(F.col(text)).alias("_ls"))
+    d = d.withColumn("_hs", F.array_compact(F.transform("_ls", found)))
+    d = d.withColumn("_paths", F.aggregate("_hs", start, step, lambda a: a["out"]))
     # an empty opening part counts only if something stands in it
-    out = out.filter((F.col("_i") > 0) | (X.strip("body") != ""))
-    first = F.min("_i").over(W.partitionBy(key))
-    return out.withColumn("section_no", (F.col("_i") - first).cast("int")).drop("_i").select(key, "section_no", "level", "heading", "section_path", "body")
+    whole = F.filter(F.concat(F.array(opening), rest), lambda x, i: (i > 0) | (X.strip(x["body"]) != ""))
+    return d.select(key, F.posexplode(whole).alias("section_no", "s")).select(key, "section_no", "s.level", "s.heading", "s.section_path", "s.body")
 
 
 def section_text(level: Column, heading: Column, body: Column) -> Column:
@@ -105,26 +92,30 @@ def section_text(level: Column, heading: Column, body: Column) -> Column:
     return F.when(heading == "", X.strip(body)).otherwise(X.strip(F.concat(mark, F.lit("\n\n"), X.strip(body))))
 
 
-def pack_paragraphs(text: Column, most: int = SECTION_MOST) -> Column:
-    """Array of pieces: paragraphs are added to a piece until it would exceed `most`; a longer paragraph stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+def pack_paragraphs(content: Column, heading: Column, body: Column, most: int = SECTION_MOST) -> Column:
+    """Array of pieces of a section: content as it is, if it has at most `most` characters; else paragraphs of the body below a heading of
+    the first level, a piece being closed before a paragraph that would make it longer than `most`; a longer paragraph stays
+    whole. Further pieces are headed as continued. A section without any paragraph is cut at `most`."""
+    first = F.when(heading == "", "").otherwise(F.concat(F.lit("# "), heading, F.lit("\n\n")))
+    start = F.struct(F.array().cast("array<string>").alias("out"), first.alias("cur"))
 
     def step(a: Column, p: Column) -> Column:
-        full = (F.length(a["cur"]) + F.length(p) > most) & (a["cur"] != "")
+        full = (F.length(a["cur"]) + F.length(p) > most) & (X.strip(a["cur"]) != "")
         return F.struct(
-            F.when(full, F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]).alias("out"),
-            F.when(full | (a["cur"] == ""), p).otherwise(F.concat(a["cur"], F.lit("\n\n"), p)).alias("cur"),
+            F.when(full, F.concat(a["out"], F.array(X.strip(a["cur"])))).otherwise(a["out"]).alias("out"),
+            F.when(full, F.concat(F.lit("# "), heading, F.lit(" (continued)\n\n"), p, F.lit("\n\n"))).otherwise(F.concat(a["cur"], p, F.lit("\n\n"))).alias("cur"),
         )
 
-    packed = F.aggregate(F.split(text, r"\n\s*\n"), start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
-    return F.when(F.length(text) > most, packed).otherwise(F.array(text))
+    ps = F.filter(F.transform(F.split(body, r"\n\s*\n"), X.strip), lambda p: p != "")
+    packed = F.aggregate(ps, start, step, lambda a: F.when(X.strip(a["cur"]) == "", a["out"]).otherwise(F.concat(a["out"], F.array(X.strip(a["cur"])))))
+    return F.when(F.length(content) <= most, F.array(content)).when(F.size(packed) == 0, F.array(F.substring(content, 1, most))).otherwise(packed)
 
 
 def section_chunks(docs: DataFrame, key: str, text: str, label: Column) -> DataFrame:
     """Chunks of Markdown documents: (key, chunk_index, section_path, heading, content, chunk_id). Sections under 50 characters
     are dropped; their number still counts, as chunk_index = section * 100 + piece."""
     s = sections(docs, key, text).withColumn("_t", section_text(F.col("level"), F.col("heading"), F.col("body"))).filter(F.length("_t") >= SECTION_LEAST)
-    p = s.select("*", F.posexplode(pack_paragraphs(F.col("_t"))).alias("_j", "content"))
+    p = s.select("*", F.posexplode(pack_paragraphs(F.col("_t"), F.col("heading"), F.col("body"))).alias("_j", "content"))
     index = (F.col("section_no") * 100 + F.col("_j")).cast("int")
     return p.select(key, index.alias("chunk_index"), "section_path", "heading", "content", X.doc_chunk_id(label, F.col(key).cast("string"), index, F.col("content")).alias("chunk_id"))
 
@@ -137,6 +128,7 @@ def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def incident_fields(heading: Column) -> list[Column]:
     """severity, incident_date (as written) and affected_services of an incident heading."""
+    # What the three patterns take for a severity, a date and a service.
     return [
         F.nullif(F.upper(F.regexp_extract(heading, r"(?i)\b(P[1-4])\b", 1)), F.lit("")).alias("severity"),
         F.nullif(F.regexp_extract(heading, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit("")).alias("incident_date"),
@@ -183,8 +175,8 @@ def import_entries(files: DataFrame) -> DataFrame:
     original = F.regexp_extract("_p", r"^([\w.*]+)", 1)
     named = F.when(alias != "", alias).otherwise(original)
 
-    py = statements(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+[^\r\n]+", "python").withColumn("_m", F.regexp_extract("s", r"from\s+([\w.]+)", 1))
-    py = part_of(py, F.regexp_replace(F.regexp_extract("s", r"import[ \t]+([^#\r\n]+)", 1), r"[()]", ""))
+    py = statements(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]+(?:\([^)]*\)|[^\r\n]+)", "python").withColumn("_m", F.regexp_extract("s", r"from\s+([\w.]+)", 1))
+    py = part_of(py, F.regexp_replace(F.regexp_extract("s", r"(?s)import[ \t]+(.+)$", 1), r"#[^\r\n]*|[()]", ""))
     out = entries(py, F.when(F.col("_p") == "*", "*").otherwise(named), F.col("_m"), F.concat_ws(".", "_m", original), F.col("_p") == "*")
     py = part_of(statements(r"(?m)^[ \t]*import[ \t]+[^\r\n]+", "python"), F.regexp_extract("s", r"import[ \t]+([^#\r\n]+)", 1))
     out = out.unionByName(entries(py, F.when(alias != "", alias).otherwise(F.substring_index(original, ".", 1)), original, original, F.lit(False)))
@@ -206,7 +198,8 @@ def import_entries(files: DataFrame) -> DataFrame:
 
 # --- diagrams and answers of language models --------------------------------------------------------------------------
 # First words of diagrams, without hyphens and in lower case.
-DIAGRAMS = "graph flowchart sequencediagram sequence classdiagram statediagram erdiagram gantt pie gitgraph mindmap timeline journey quadrantchart sankey xychart block".split()
+DIAGRAMS = ["graph", "flowchart", "sequencediagram", "sequence", "classdiagram", "statediagram", "erdiagram", "gantt", "pie", "gitgraph", "mindmap", "timeline", "journey", "quadrantchart",
+            "sankey", "xychart", "block"]
 
 
 def diagrams(text: Column) -> Column:
@@ -214,8 +207,37 @@ def diagrams(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)```mermaid\s*\n(.*?)```"), F.lit(1))
 
 
+def diagram_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, block_no, start, kind, source) of fenced mermaid blocks: start is the 0-based place of the fence, kind the first word of the first
+    line that isn't a comment, in lower case without hyphens ('' without one). Null texts have none."""
+    mark = r"(?s)```mermaid\s*\n(.*?)```"
+    whole = F.regexp_extract_all(text, F.lit(mark), F.lit(0))
+    # each block begins where the ones before it and what stands between them end
+    between = F.split(F.col(text), mark, -1)
+    ends = F.transform(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_b", F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)))
+    d = docs.select(key, whole.alias("_w"), between.alias("_b")).filter(F.size("_w") > 0).withColumn("_at", ends)
+    d = d.select(key, F.posexplode(F.arrays_zip("_w", "_at")).alias("block_no", "x"))
+    source = X.strip(F.regexp_extract("x._w", mark, 1))
+    first = F.filter(F.split(source, "\n"), lambda l: (X.strip(l) != "") & ~X.strip(l).startswith("%%"))
+    kind = F.replace(F.lower(F.regexp_extract(X.strip(F.get(first, F.lit(0))), r"^(\S+)", 1)), F.lit("-"), F.lit(""))
+    return d.select(key, "block_no", F.col("x._at").alias("start"), F.coalesce(kind, F.lit("")).alias("kind"), source.alias("source"))
+
+
+def module_docstring(c: Column) -> Column:
+    """What stands in the quotes a text begins with - three double, three single, one double, one single are tried in this order -
+    without blanks at its ends; '' if it begins with none or the quotes don't close. Null for null."""
+    t = X.strip(c)
+    out = F.lit("")
+    for q in ("'", '"', "'''", '"""'):
+        body = F.substring(t, F.lit(len(q) + 1), F.length(t))
+        closes = F.instr(body, q)
+        out = F.when(t.startswith(q) & (closes > 0), X.strip(F.substring(body, F.lit(1), closes - 1))).otherwise(out)
+    return F.when(c.isNotNull(), out)
+
+
 def diagram_problems(source: Column) -> Column:
     """Array of what is wrong with a diagram: empty, only comments, unknown type, more than three brackets left open."""
+    # The texts of the four problems.
     ls = F.filter(F.split(F.coalesce(source, F.lit("")), "\n"), lambda x: (X.strip(x) != "") & ~X.strip(x).startswith("%%"))
     word = F.regexp_extract(X.strip(ls[0]), r"^(\S+)", 1)
     known = F.replace(F.lower(word), F.lit("-"), F.lit("")).isin(DIAGRAMS)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+PARTS = 64  # ranges a group is cut into for percentiles
+BROADCAST_GROUPS = 10_000
+
+
 def relevant(path: Column, symbol: Column, files: Column, symbols: Column) -> Column:
     """Is a hit relevant? An expected file stands in its path (with / for \\), or its symbol is expected."""
     clean = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
@@ -43,18 +47,25 @@ def mean_positive(c: Column) -> Column:
 def percentile(df: DataFrame, by: list[str], value: str, *ps: int) -> DataFrame:
     """Nearest-rank percentiles sorted[min(floor(n p / 100), n - 1)], without interpolation.
 
-    The values are counted first, so a group with a third of all rows meets others as one row a distinct value; ranks come from
-    running counts.
+    The values are counted first, so equal ones move as one row a task. Each group is then cut into `PARTS` ranges of about equally
+    many distinct values (at approximate quantiles; where they lie doesn't matter for the result), ranks are counted within a
+    range and set off by the sizes of the ranges below, so a group with a third of all rows is the work of many tasks.
     """
     from pyspark.sql import Window as W
 
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    at = counts.groupBy(*by).agg(F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)], 1000).alias("_q"))
+    if at.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        at = F.broadcast(at)  # a row of PARTS numbers a group, groups counted
+    cut = counts.join(at, by).withColumn("_p", F.size(F.filter("_q", lambda q: q < F.col(value)))).drop("_q")
     w = W.partitionBy(*by)
-    run = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    sizes = cut.groupBy(*by, "_p").agg(F.sum("_c").alias("_s"))
+    sizes = sizes.select(*by, "_p", (F.sum("_s").over(w.orderBy("_p").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_off"), F.sum("_s").over(w).alias("_n"))
+    run = cut.withColumn("_to", F.sum("_c").over(W.partitionBy(*by, "_p").orderBy(value).rowsBetween(W.unboundedPreceding, 0))).join(sizes, [*by, "_p"])
     pick = []
     for p in ps:
         rank = F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1) + 1
-        pick.append(F.min(F.when(F.col("_to") >= rank, F.col(value))).alias(f"p{p}"))
+        pick.append(F.min(F.when(F.col("_off") + F.col("_to") >= rank, F.col(value))).alias(f"p{p}"))
     return run.groupBy(*by).agg(*pick)
 
 
@@ -91,3 +102,9 @@ def assertions(answers: DataFrame) -> DataFrame:
     has = F.forall(F.coalesce("must_contain", F.array().cast("array<string>")), lambda s: F.contains(low, F.lower(s)))
     hasnt = ~F.exists(F.coalesce("must_not_contain", F.array().cast("array<string>")), lambda s: F.contains(low, F.lower(s)))
     return answers.select("query_id", (has & hasnt & (F.coalesce("confidence", F.lit(0.0)) >= F.coalesce("min_confidence", F.lit(0.0)))).alias("passed"))
+
+
+def matched(hits: DataFrame, case: str, value: str) -> DataFrame:
+    """hits(case, rank, rel, value) -> (case, matched): the distinct filled values of relevant hits in the order they were first seen."""
+    first = hits.filter(F.col("rel") & (F.coalesce(F.col(value), F.lit("")) != "")).groupBy(case, value).agg(F.min("rank").alias("_r"))
+    return first.groupBy(case).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", value))), lambda x: x[value]).alias("matched"))

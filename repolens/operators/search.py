@@ -16,15 +16,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
+from ..functions.batches import in_arrow
 from .collections import latest, top_per_group
 
 RRF = 60
-MOST_QUERIES = 100_000
+MOST_QUERIES, QUERY_BYTES, PRODUCT = 100_000, 1 << 28, 1 << 24  # queries and bytes that travel at once, numbers of a matrix product
 
 
 def matches(df: DataFrame, filters: dict | None) -> DataFrame:
-    """Payload filter: equality a key, membership for lists; an empty dict lets everything through."""
+    """Payload filter: equality a key, membership for lists, part of the value for keys with __contains; an empty dict lets everything through."""
     for k, v in (filters or {}).items():
+        if k.endswith("__contains"):  # opt-in: a part of the value is enough
+            df = df.filter(F.contains(F.col(k.removesuffix("__contains")), F.lit(v)))
+            continue
         df = df.filter(F.col(k).isin(list(v)) if isinstance(v, list | tuple | set) else F.col(k) == v)
     return df
 
@@ -43,15 +47,37 @@ def clamp_k(k: int, kind: str = "code") -> int:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 4096) -> DataFrame:
     """Exact cosine top-k: vectors(key, embedding), queries(query_id, embedding) -> (query_id, key, score, rank).
 
-    Queries (bounded, checked) go to every task; each block of vectors meets them in one matrix product, and each task
-    keeps k a query, so the exchange carries tasks x queries x k rows. Ties go to the smaller key. Null vectors match nothing.
+    Queries go to every task, in groups of at most `MOST_QUERIES` and `QUERY_BYTES`; each block of vectors meets them in matrix products of at
+    most `PRODUCT` numbers, and each task keeps k a query, so the exchange carries tasks x queries x k rows. Ties go to the smaller
+    key. Null vectors match nothing. `near` answers many queries against many vectors with an index.
     """
-    rows = queries.select("query_id", "embedding").filter("embedding IS NOT NULL").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError("too many queries at once; search them in parts")
     kind = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, score double"
-    if not rows:
+    asked = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if not n:
         return vectors.sparkSession.createDataFrame([], kind + ", rank int")
+    groups = max(1, -(-n // MOST_QUERIES), -(-n * size * 8 // QUERY_BYTES))
+    parts = [asked] if groups == 1 else [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) for g in range(groups)]
+    out = None
+    for p in parts:
+        rows = p.collect()
+        if rows:
+            one = _dense(vectors, rows, k, key, block, kind)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest of each row, ties by id; a partial selection comes before the sort."""
+    if score.shape[1] > 4 * k:
+        least = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+        keep = np.flatnonzero((score >= least[:, None]).any(0))
+        score, ids = score[:, keep], ids[keep]
+    order = np.stack([np.lexsort((ids, -row))[:k] for row in score])
+    return np.take_along_axis(score, order, 1), ids[order]
+
+
+def _dense(vectors: DataFrame, rows: list, k: int, key: str, block: int, kind: str) -> DataFrame:
     names = [r.query_id for r in rows]
     q = np.array([r.embedding for r in rows], np.float64)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
@@ -60,27 +86,28 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", b
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shared.value
-        score = np.zeros((len(names), 0))
-        ids = np.zeros((len(names), 0), np.int64)
-        held: list = []
+        step = max(1, PRODUCT // block)
+        tops: list = [None] * -(-len(names) // step)  # for each group of queries its best scores and keys
         for b in batches:
             for at in range(0, b.num_rows, block):
                 part = b.slice(at, block)
-                lists = part.column(1)
-                flat = np.asarray(lists.flatten(), np.float64).reshape(len(part), -1)
+                flat = np.asarray(part.column(1).flatten(), np.float64).reshape(len(part), -1)
                 flat = flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
-                base = len(held)
-                held += part.column(0).to_pylist()
-                score = np.hstack([score, q @ flat.T])
-                ids = np.hstack([ids, np.broadcast_to(np.arange(base, len(held)), (len(names), len(part)))])
-                if score.shape[1] > 2 * k:
-                    order = np.stack([np.lexsort(([held[j] for j in ids[i]], -score[i]))[:k] for i in range(len(names))])
-                    score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        n = score.shape[1]
-        columns = [[x for x in names for _ in range(n)], [held[j] for j in ids.ravel()], score.ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    near = vectors.select(key, "embedding").filter("embedding IS NOT NULL").mapInArrow(best, kind)
+                ids = np.asarray(part.column(0).to_pylist())
+                for g in range(len(tops)):
+                    s, i = _best(q[g * step : (g + 1) * step] @ flat.T, ids, k)
+                    if tops[g] is not None:
+                        s, i = np.hstack([tops[g][0], s]), np.hstack([tops[g][1], i])
+                        order = np.stack([np.lexsort((y, -x))[:k] for x, y in zip(s, i, strict=True)])
+                        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                    tops[g] = s, i
+        for g, top in enumerate(tops):
+            if top is not None:
+                n = top[0].shape[1]
+                columns = [[x for x in names[g * step : (g + 1) * step] for _ in range(n)], top[1].ravel().tolist(), top[0].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    near = in_arrow(vectors.select(key, "embedding").filter("embedding IS NOT NULL"), best, kind)
     return top_per_group(near, ["query_id"], k, F.desc("score"), F.asc(key))
 
 
@@ -92,20 +119,46 @@ def lexical_match(docs: DataFrame, words: list[str], text: str = "content") -> D
     return docs.filter(F.forall(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.array_contains(own, w)))
 
 
+_TOKEN = "(?<![a-z0-9_])%s(?![a-z0-9_])"
+
+
 def bm25(docs: DataFrame, words: list[str], key: str, text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents with any of the words. Lengths and frequencies are over all documents."""
+    """(key, score) of documents with any of the words, by a scan. Lengths and frequencies are over all documents. Tokens are counted, not
+    cut out: one scan counts the corpus, one the documents that hold a word. For many queries use `postings`."""
     query = [w.lower() for w in dict.fromkeys(words)]
-    d = docs.select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(
-        key, F.size("_t").alias("_n"), F.filter("_t", lambda t: t.isin(query)).alias("_q")
-    )
-    stats = d.agg(F.count("*").alias("docs"), F.avg("_n").alias("mean"))
-    tf = d.filter(F.size("_q") > 0).select(key, "_n", F.explode("_q").alias("w")).groupBy(key, "_n", "w").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("w").agg(F.count("*").alias("df"))
-    # one row of statistics and one a query word: sizes that don't depend on the documents
-    weighed = tf.join(F.broadcast(df), "w").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / F.col("mean")))
-    return weighed.groupBy(key).agg(F.sum(score).alias("score"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    n = F.regexp_count(low, F.lit(_TOKEN % "[a-z0-9_]{2,40}")).alias("_n")
+    tf = [F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(_TOKEN % w))).otherwise(0).alias(f"_f{i}") for i, w in enumerate(query)]
+    if not all(2 <= len(w) <= 40 and w.replace("_", "a").isalnum() and w.isascii() for w in query):
+        raise ValueError("words are 2 to 40 letters, digits and underscores")
+    d = docs.select(key, n, *tf)
+    # one row of statistics: a size that doesn't depend on the documents
+    stats = d.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
+    any_of = F.greatest(*[F.col(f"_f{i}") for i in range(len(query))], F.lit(0)) > 0
+    both = docs.filter(F.greatest(*[F.contains(low, F.lit(w)) for w in query], F.lit(False))).select(key, n, *tf).filter(any_of).crossJoin(F.broadcast(stats))
+    part = [_weight(F.col("_docs"), F.col(f"_d{i}"), F.col(f"_f{i}"), F.col("_n"), F.col("_mean"), k1, b) for i in range(len(query))]
+    return both.select(key, sum(part[1:], part[0]).alias("score"))
+
+
+def _weight(docs: Column, df: Column, tf: Column, n: Column, mean: Column, k1: float, b: float) -> Column:
+    idf = F.log(1 + (docs - df + 0.5) / (df + 0.5))
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+
+
+def postings(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
+    """(token, key, tf, n): a row a token and document with its frequency and the document's length in tokens; what a collection keeps to answer
+    queries without reading its texts. Written partitioned by token_part (hash of the token, 256 parts), a query reads its words' parts."""
+    d = docs.select(key, X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")).select(key, F.size("_t").alias("n"), F.explode("_t").alias("token"))
+    return d.groupBy(key, "n", "token").agg(F.count("*").alias("tf")).select("token", key, "tf", "n", F.pmod(F.xxhash64("token"), F.lit(256)).cast("int").alias("token_part"))
+
+
+def bm25_postings(index: DataFrame, docs: int, mean: float, words: list[str], key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The scores of `bm25` from postings and the corpus's number of documents and mean length, which are kept beside them."""
+    query = [w.lower() for w in dict.fromkeys(words)]
+    mine = index.filter(F.col("token").isin(query))
+    df = F.broadcast(mine.groupBy("token").agg(F.count("*").alias("_df")))  # a row a query word
+    score = _weight(F.lit(docs), F.col("_df"), F.col("tf"), F.col("n"), F.lit(mean), k1, b)
+    return mine.join(df, "token").groupBy(key).agg(F.sum(score).alias("score"))
 
 
 def fuse(dense_hits: DataFrame, text_hits: DataFrame, key: str, k: int, by: list[str] | None = None) -> DataFrame:
@@ -146,14 +199,26 @@ def hit_view(hits: DataFrame) -> DataFrame:
     return hits.withColumns({"content": X.cut(F.coalesce("content", F.lit("")), 500), "score": F.round("score", 4)})
 
 
-def find_entity(hits: DataFrame, wanted: str, k: int = 10) -> DataFrame:
-    """The hit a node name means: among the first k by rank an exact name or qualified name, else a partial one; no row if none."""
-    hint_free = wanted.split(":", 1)[1] if ":" in wanted else wanted
-    base = hint_free.rsplit(".", 1)[-1]
-    exact = (F.col("symbol_name") == base) | (F.col("qualified_name") == hint_free)
+def entity_view(found: DataFrame) -> DataFrame:
+    """What a caller sees of an entity: content cut at 2,000 characters."""
+    return found.withColumn("content", X.cut(F.coalesce("content", F.lit("")), 2000))
+
+
+def node_name(wanted: str) -> tuple[str, str, str]:
+    """(file hint, qualified name, base name) of a node name: the hint stands before the first colon, the base behind the last dot."""
+    hint, _, rest = wanted.rpartition(":") if ":" not in wanted else wanted.partition(":")
+    return hint, rest, rest.rsplit(".", 1)[-1]
+
+
+def find_entity(hits: DataFrame, wanted: str, k: int = 10, by: list[str] | None = None) -> DataFrame:
+    """The hit a node name means: among the first k by rank an exact name or qualified name, else a partial one; no row if none. A file
+    hint puts hits of files whose path holds it first among equals."""
+    hint, name, base = node_name(wanted)
+    exact = (F.col("symbol_name") == base) | (F.col("qualified_name") == name)
     partial = F.contains(F.lower("symbol_name"), F.lit(base.lower()))
     found = hits.filter(F.col("rank") <= k).withColumn("match", F.when(exact, 0).when(partial, 1)).filter("match IS NOT NULL")
-    return found.orderBy("match", "rank").limit(1)
+    order = ["match", *([~F.contains(F.coalesce("file_path", F.lit("")), F.lit(hint))] if hint and "file_path" in hits.columns else []), "rank"]
+    return found.orderBy(*order).limit(1)
 
 
 def diverse(hits: DataFrame, k: int, most: int = 2, by: list[str] | None = None) -> DataFrame:
@@ -169,14 +234,14 @@ def diverse(hits: DataFrame, k: int, most: int = 2, by: list[str] | None = None)
 
 
 def rerank(hits: DataFrame, query: str, k: int, scorer=None) -> DataFrame:
-    """Hits by a pair score of query and content (first 2,048 characters); the given scorer, else overlap of words on [-10, 10].
-    A scorer that fails leaves order and scores as they are."""
-    original = hits
-    try:
-        scored = hits.withColumn("rerank_score", (scorer or overlap_score)(F.lit(query), F.substring(F.coalesce("content", F.lit("")), 1, 2048)))
-        scored.schema  # noqa: B018 - analysis happens here
-    except Exception:
-        scored = original.withColumn("rerank_score", F.lit(None).cast("double"))
+    """Hits by a pair score of query and content (first 2,048 characters): overlap of words on [-10, 10], or the given scorer - a column
+    function (query, content), or a Python function of two strings made safe by `scorers.guarded`, which gives null for a batch
+    that fails. If any score of the candidates is null the scorer has failed: order and scores stay as they are. Candidates are the
+    few hits of a search."""
+    scored = hits.withColumn("rerank_score", (scorer or overlap_score)(F.lit(query), F.substring(F.coalesce("content", F.lit("")), 1, 2048)))
+    if scorer is not None:
+        scored = scored.withColumn("_bad", F.max(F.col("rerank_score").isNull()).over(W.partitionBy(F.lit(0))))
+        scored = scored.withColumn("rerank_score", F.when(~F.col("_bad"), F.col("rerank_score"))).drop("_bad")
     order = [F.desc_nulls_last("rerank_score"), F.asc("rank")]
     top = scored.orderBy(*order).limit(k)
     return top.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("int")).withColumn("score", F.coalesce("rerank_score", "score"))

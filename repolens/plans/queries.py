@@ -40,6 +40,10 @@ B = "[ \\t\\r\\n\\f\\x0B]"
 DIR = "regexp_replace(regexp_replace({c}, '[^/]*$', ''), '/$', '')"
 
 
+def RECURSIVE(sql: str) -> str:  # noqa: N802
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^{B}+|{B}+$', '', 'g')"
 
@@ -204,7 +208,15 @@ def t7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return T.paragraphs(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "heading", F.md5("body").alias("body_md5"))
 
 
-@query()
+@query(SECTIONS.replace("WITH l AS", "WITH RECURSIVE l AS") + f""", q AS (SELECT k.doc_id, k.section_no, k.heading, coalesce(p.section_path, '') AS section_path, k.body, CASE WHEN k.heading = '' THEN {strip_sql('k.body')}
+        ELSE {strip_sql("repeat('#', greatest(k.level, 1)::INT) || ' ' || k.heading || chr(10) || chr(10) || " + strip_sql('k.body'))} END AS text FROM k LEFT JOIN p USING (doc_id, i)),
+    ps AS (SELECT *, list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS ps FROM q WHERE length(text) > 4000),
+    r AS (SELECT doc_id, section_no, heading, ps, 0 AS n, CASE WHEN heading = '' THEN '' ELSE '# ' || heading || chr(10) || chr(10) END AS cur, 0 AS j, NULL::VARCHAR AS done FROM ps
+        UNION ALL SELECT doc_id, section_no, heading, ps, n + 1, CASE WHEN full_ THEN '# ' || heading || ' (continued)' || chr(10) || chr(10) || x || chr(10) || chr(10) ELSE cur || x || chr(10) || chr(10) END, CASE WHEN full_ THEN j + 1 ELSE j END, CASE WHEN full_ THEN {strip_sql('cur')} END
+        FROM (SELECT *, ps[n + 1] AS x, length(cur) + length(ps[n + 1]) > 4000 AND {strip_sql('cur')} <> '' AS full_ FROM r WHERE n < len(ps))),
+    pieces AS (SELECT doc_id, section_no, j - 1 AS j, done AS content FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, section_no, j, {strip_sql('cur')} FROM r WHERE n = len(ps) AND {strip_sql('cur')} <> ''
+        UNION ALL SELECT doc_id, section_no, 0, text FROM q WHERE length(text) BETWEEN 50 AND 4000)
+    SELECT doc_id, (section_no * 100 + j)::INT AS chunk_index, section_path, heading, content, sha256('application_docs:' || doc_id || ':' || (section_no * 100 + j)::INT || ':' || content) AS chunk_id FROM pieces JOIN q USING (doc_id, section_no)""".replace("JOIN q USING (doc_id, section_no)", "JOIN (SELECT doc_id, section_no, section_path, heading FROM q) USING (doc_id, section_no)"))
 def t9_section_chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.section_chunks(table(spark, d, "documents"), "doc_id", "text", F.lit("application_docs"))
 
@@ -265,7 +277,11 @@ def f8_link_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_repo").select("chunk_id", X.first_filled(F.col("scm_permalink"), F.col("repo_url")).alias("link")).distinct()
 
 
-@query()
+HMAC_KEY = b"hook-signing".ljust(64, b"\0")
+HMAC = f"sha256(from_hex('{bytes(x ^ 0x5C for x in HMAC_KEY).hex()}') || from_hex(sha256(from_hex('{bytes(x ^ 0x36 for x in HMAC_KEY).hex()}') || encode(message))))"
+
+
+@query(f"SELECT DISTINCT sha, {HMAC} AS signature FROM commits")
 def f12_signature(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "commits").select("sha", X.hmac_sha256("hook-signing", F.col("message")).alias("signature")).distinct()
 
@@ -318,7 +334,8 @@ def v5_bm25(spark: SparkSession, d: str) -> DataFrame:
 def v7_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    text = K.top_per_group(e.select("vec_id", "label").join(q, "label"), ["query_id"], 20, F.asc("vec_id"))
+    # the keyword arm gives the first 20 of a label in the order of ids: they are taken before queries meet them
+    text = K.top_per_group(e.select("vec_id", "label"), ["label"], 20, F.asc("vec_id")).join(q, "label").drop("label")
     fused = V.fuse(_dense(spark, d), text, "vec_id", 20, ["query_id"])
     return fused.select("query_id", "vec_id", F.round("score", 8).alias("score"), F.col("rank").cast("bigint"))
 
@@ -388,20 +405,25 @@ def v21_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
-COMPS = f"""WITH c AS (SELECT DISTINCT project_id, coalesce(qualified_name, name) AS component_id, name, file_path, {DIR.format(c='file_path')} AS directory FROM symbols),
-    calls AS (SELECT DISTINCT project_id, coalesce(qualified_name, name) AS caller_id, file_path AS caller_file, unnest(calls) AS call FROM symbols),
-    im AS (SELECT DISTINCT project_id, source_file, imported_name, qualified_name FROM imports WHERE NOT is_wildcard AND qualified_name IS NOT NULL),
-    t AS (SELECT k.project_id, k.caller_file, k.call, 1 AS tier, 0 AS ord, k.call AS callee_id FROM calls k JOIN c ON c.project_id = k.project_id AND c.component_id = k.call
-    UNION ALL SELECT k.project_id, k.caller_file, k.call, 2, 0, c.component_id FROM calls k JOIN im ON im.project_id = k.project_id AND im.source_file = k.caller_file AND im.imported_name = k.call JOIN c ON c.project_id = k.project_id AND c.component_id = im.qualified_name
-    UNION ALL SELECT k.project_id, k.caller_file, k.call, 2, 1, c.component_id FROM calls k JOIN im ON im.project_id = k.project_id AND im.source_file = k.caller_file AND im.imported_name = k.call
-        JOIN c ON c.project_id = k.project_id AND ends_with(c.component_id, '.' || k.call) AND contains(c.component_id, im.qualified_name)
-    UNION ALL SELECT k.project_id, k.caller_file, k.call, 3, 0, c.component_id FROM calls k JOIN c ON c.project_id = k.project_id AND c.file_path = k.caller_file AND ends_with(c.component_id, '.' || k.call)
-    UNION ALL SELECT k.project_id, k.caller_file, k.call, 4, CASE WHEN c.directory = {DIR.format(c='k.caller_file')} THEN 0 ELSE 1 END, c.component_id FROM calls k JOIN c ON c.project_id = k.project_id AND c.name = k.call),
-    best AS (SELECT project_id, caller_file, call, min({{'tier': tier, 'ord': ord, 'callee_id': callee_id}}) AS b FROM t GROUP BY 1, 2, 3),
-    resolved AS (SELECT k.*, b.b.tier AS tier, b.b.callee_id AS callee_id FROM calls k LEFT JOIN best b USING (project_id, caller_file, call)),
+def comps_sql(symbols: str = "symbols", imports: str = "imports", before: str = "") -> str:
+    place = "{'f': file_path, 's': start_line, 'c': component_id}"
+    return f"""WITH {before}c AS (SELECT project_id, coalesce(qualified_name, name) AS component_id, name, file_path, {DIR.format(c='file_path')} AS directory, min(start_line) AS start_line FROM {symbols} GROUP BY 1, 2, 3, 4),
+    p AS (SELECT *, {place} AS "at" FROM c), calls AS (SELECT DISTINCT project_id, coalesce(qualified_name, name) AS caller_id, file_path AS caller_file, unnest(calls) AS call FROM {symbols}),
+    im AS (SELECT DISTINCT project_id, source_file, imported_name, qualified_name FROM {imports} WHERE NOT is_wildcard AND qualified_name IS NOT NULL),
+    t AS (SELECT k.project_id, k.caller_file, k.call, 1 AS tier, '' AS pos, 0 AS kind, p."at" FROM calls k JOIN p ON p.project_id = k.project_id AND p.component_id = k.call
+    UNION ALL SELECT k.project_id, k.caller_file, k.call, 2, im.qualified_name, 0, p."at" FROM calls k JOIN im ON im.project_id = k.project_id AND im.source_file = k.caller_file AND im.imported_name = k.call JOIN p ON p.project_id = k.project_id AND p.component_id = im.qualified_name
+    UNION ALL SELECT k.project_id, k.caller_file, k.call, 2, im.qualified_name, 1, p."at" FROM calls k JOIN im ON im.project_id = k.project_id AND im.source_file = k.caller_file AND im.imported_name = k.call
+        JOIN p ON p.project_id = k.project_id AND ends_with(p.component_id, '.' || k.call) AND contains(p.component_id, im.qualified_name)
+    UNION ALL SELECT k.project_id, k.caller_file, k.call, 3, '', 0, p."at" FROM calls k JOIN p ON p.project_id = k.project_id AND p.file_path = k.caller_file AND ends_with(p.component_id, '.' || k.call)
+    UNION ALL SELECT k.project_id, k.caller_file, k.call, 4, '', CASE WHEN p.directory = {DIR.format(c='k.caller_file')} THEN 0 ELSE 1 END, p."at" FROM calls k JOIN p ON p.project_id = k.project_id AND p.name = k.call),
+    best AS (SELECT project_id, caller_file, call, min({{'tier': tier, 'pos': pos, 'kind': kind, 'at': "at"}}) AS b FROM t GROUP BY 1, 2, 3),
+    resolved AS (SELECT k.*, b.b.tier AS tier, b.b.at.c AS callee_id FROM calls k LEFT JOIN best b USING (project_id, caller_file, call)),
     edges AS (SELECT DISTINCT project_id, caller_id AS src, callee_id AS dst FROM resolved WHERE callee_id IS NOT NULL AND callee_id <> caller_id)"""
 
 
+COMPS = comps_sql()
+
+
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "symbols")
     return J.resolve(J.calls_of(s), J.components(s), table(spark, d, "imports"))
@@ -576,12 +598,19 @@ def g5_leaves_roots(spark: SparkSession, d: str) -> DataFrame:
     return out.select("node", F.coalesce("leaf", F.lit(False)).alias("leaf"), F.coalesce("root", F.lit(False)).alias("root"))
 
 
-@query()
+#: Strong components of edges g(src, dst) by transitive closure; edges that breaking cycles keeps; longest chains of these.
+STRONG = """, rr AS (SELECT src AS x, dst AS y FROM g UNION SELECT rr.x, g.dst FROM rr JOIN g ON g.src = rr.y), sc AS (SELECT a.x AS node, least(a.x, min(a.y)) AS component FROM rr a JOIN rr b ON a.x = b.y AND a.y = b.x WHERE a.x <> a.y GROUP BY a.x),
+    gone AS (SELECT g.src, g.dst FROM g JOIN sc a ON a.node = g.src JOIN sc b ON b.node = g.dst AND a.component = b.component WHERE g.dst >= g.src), kept AS (SELECT src, dst FROM g WHERE src <> dst EXCEPT SELECT src, dst FROM gone),
+    lv AS (SELECT node, 0 AS d FROM (SELECT src AS node FROM g UNION SELECT dst FROM g) n WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.src = n.node) UNION SELECT k.src, lv.d + 1 FROM lv JOIN kept k ON k.dst = lv.node)"""
+GRAPH = RECURSIVE(COMPS) + ", g AS (SELECT project_id || '|' || src AS src, project_id || '|' || dst AS dst FROM edges)" + STRONG
+
+
+@query(GRAPH + " SELECT node, component FROM sc")
 def g2_cycles(spark: SparkSession, d: str) -> DataFrame:
     return G.strong_components(_graph(spark, d))
 
 
-@query()
+@query(GRAPH + " SELECT node, max(d) AS level FROM lv GROUP BY 1")
 def g4_levels(spark: SparkSession, d: str) -> DataFrame:
     g = _graph(spark, d)
     return G.topological_levels(g.select(F.col("src").alias("node")), g)
@@ -595,7 +624,10 @@ def g6_two_hops(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbours(g, g.select(F.col("src").alias("node")).distinct(), 2)
 
 
-@query()
+REACH = ", b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), cc AS (SELECT x AS node, x AS seen FROM b UNION SELECT b.y, cc.seen FROM cc JOIN b ON b.x = cc.node)"
+
+
+@query(RECURSIVE(COMPS) + ", g AS (SELECT project_id || '|' || src AS src, project_id || '|' || dst AS dst FROM edges)" + REACH + " SELECT node, min(seen) AS component FROM cc GROUP BY 1")
 def g1_connected(spark: SparkSession, d: str) -> DataFrame:
     return G.connected_components(_graph(spark, d))
 
@@ -625,7 +657,11 @@ def j8_reused_modules(spark: SparkSession, d: str) -> DataFrame:
     return M.reused(tree, g8_affected_modules(spark, d)).select("project_id", "module")
 
 
-@query()
+@query(f"""WITH s AS (SELECT DISTINCT project_id, symbol_id::VARCHAR AS component_id, file_path, body, string_split({DIR.format(c='file_path')}, '/') AS dirs FROM symbols),
+    a AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY project_id) <= 2 OR dirs[1] = '' THEN ['root'] ELSE dirs[1:1] END AS p1 FROM s),
+    b AS (SELECT *, CASE WHEN (count(*) OVER w > 8 OR floor(sum(length(body)) OVER w / 4) > 12000) AND len(dirs) > 1 AND p1[1] <> 'root' THEN dirs[1:2] ELSE p1 END AS p2 FROM a WINDOW w AS (PARTITION BY project_id, p1)),
+    d AS (SELECT *, CASE WHEN (count(*) OVER w > 8 OR floor(sum(length(body)) OVER w / 4) > 12000) AND len(p2) = 2 AND len(dirs) > 2 AND p2[1] <> 'root' THEN dirs[1:3] ELSE p2 END AS p3 FROM b WINDOW w AS (PARTITION BY project_id, p2))
+    SELECT project_id, array_to_string(p3, '/') AS module, component_id FROM d""")
 def g9_clusters(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "symbols").select("project_id", F.col("symbol_id").cast("string").alias("component_id"), "file_path", F.col("body").alias("source")).distinct()
     return M.cluster(s).select("project_id", F.array_join("path", "/").alias("module"), "component_id")
@@ -790,7 +826,7 @@ def g1_part_edges(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
 
 
-@query()
+@query(RECURSIVE(PARTS) + ", g AS (SELECT * FROM e)" + REACH + " SELECT node, min(seen) AS component FROM cc GROUP BY 1")
 def g1_part_components(spark: SparkSession, d: str) -> DataFrame:
     return G.connected_components(_parts(spark, d))
 

@@ -29,12 +29,15 @@ def local_session(cpus: int | str = "*", app: str = "repolens", **conf: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The shared folder the session names in spark.checkpoint.dir; on one machine, as in tests, one of our own where that is unset. On a
+    cluster a folder that isn't named is an error: executors could not read another machine's folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
             named = tempfile.mkdtemp(prefix="repolens-checkpoint-")
         sc.setCheckpointDir(named)
         return named
@@ -48,9 +51,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors of a cluster; on one machine they share the driver's path."""
+    """Makes this package importable in Python workers, once a session: a zip goes out with the session's files, on a cluster from the
+    shared folder. All operators that run Python code call this."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
     root = Path(__file__).resolve().parent
@@ -58,12 +62,17 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(buffer, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    jvm = sc._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/repolens-{sc.applicationId}.zip")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    out.write(bytearray(buffer.getvalue()))
-    out.close()
-    sc.addPyFile(path.toString())
+    name = f"repolens-{sc.applicationId}.zip"
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        path = os.path.join(tempfile.mkdtemp(prefix="repolens-"), name)
+        Path(path).write_bytes(buffer.getvalue())
+    else:
+        target = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+        out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(buffer.getvalue()))
+        out.close()
+        path = target.toString()
+    sc.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
