@@ -158,6 +158,17 @@ def masked(records: DataFrame) -> DataFrame:
     return map_rows(records.select("record_kind", "record_id", "text", "config"), row, "record_kind string, record_id string, masked_text string")
 
 
+def masked_shape(records: DataFrame) -> DataFrame:
+    """(record_kind, record_id, lines, characters) of every record's text with its credentials masked: what masking must not change."""
+
+    def row(kind, record_id, text, config):
+        if text is not None:
+            out = secrets.mask(text, bool(config))
+            yield kind, record_id, out.count("\n") + 1, len(out)
+
+    return map_rows(records.select("record_kind", "record_id", "text", "config"), row, "record_kind string, record_id string, lines int, characters int").distinct()
+
+
 def text_records(code_repo: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks and symbol bodies as records for secret_lines and masked."""
     chunks = code_repo.select(F.lit("chunk").alias("record_kind"), F.col("chunk_id").alias("record_id"), F.col("content").alias("text"), _is_config(F.col("file_path"), F.col("language")).alias("config"))

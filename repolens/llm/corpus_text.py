@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import map_batches, map_rows
 from ..operators.collections import top_per_group
-from ..session import checkpoint
+from ..session import checkpoint, ship
 from . import language, leaks, packing
 
 TOKENIZER = os.environ.get("REPOLENS_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
@@ -57,6 +57,7 @@ def pack(sizes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     documents share spreads over as many tasks as its rows need.
     """
     spark = sizes.sparkSession
+    ship(spark)
 
     def parts(doc_id, n):
         n = n or 0
@@ -176,6 +177,7 @@ class LeakSearch:
 
     def __init__(self, documents: DataFrame, items: DataFrame, run: int = RUN, passage: int = PASSAGE, rank: int = RANK, seed: int = 7):
         spark = documents.sparkSession
+        ship(spark)
         found = _eval_items(items, run, passage)
         shared = spark.sparkContext.broadcast(found)
         self.items, self.shared = found, shared

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import map_batches
 from ..plans.graph import connected_components
-from ..session import checkpoint
+from ..session import checkpoint, ship
 from . import trie
 
 THRESHOLD, LEAST, N = 0.6, 40, 3
@@ -114,6 +114,7 @@ def _add_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """classes(class_id, shingles), one row a class -> (a, b, similarity) for all pairs a < b of similar classes."""
     spark = classes.sparkSession
+    ship(spark)
     # numbers instead of class ids travel with the postings; they are stable, as the classes are written first
     classes = checkpoint(classes.select("class_id", "shingles"))
     source = classes.select(F.monotonically_increasing_id().alias("k"), "shingles", "class_id")

@@ -214,9 +214,11 @@ def test_queries_run(name, spark, data):
     assert df.columns
     if name in SQL:
         con = duckdb.connect()
-        for t in ("code_repo", "size_limits"):
+        for t in ("code_repo", "size_limits", "symbols", "documents"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-        assert sorted(map(tuple, rows)) == sorted(con.sql(SQL[name]).fetchall())
+        rel = con.sql(SQL[name])
+        assert sorted(rel.columns) == sorted(df.columns)
+        assert sorted(tuple(r[c] for c in sorted(df.columns)) for r in rows) == sorted(rel.select(*sorted(df.columns)).fetchall())
 
 
 def test_the_nearest_comment_is_taken_and_statements_reject(spark):
