@@ -109,3 +109,49 @@ def first_attempt(attempts: DataFrame, by: str) -> DataFrame:
     """The same over rows (by, attempt, provider, content): the first attempt that didn't fail, null content where all did."""
     ok = F.when(F.col("content").isNotNull() & ~F.startswith("content", F.lit(FAILED)), F.struct("attempt", "provider", "content"))
     return attempts.groupBy(by).agg(F.min(ok).alias("b")).select(by, "b.provider", "b.content")
+
+
+class Providers:
+    """Text generators by name: complete(prompt), chat(messages) and stream(prompt). Answers come from the first provider that succeeds; streams
+    from the first alone. A provider is a function of a prompt."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, Callable[[str], str]] = {"extract": extract}
+
+    def register(self, name: str, call: Callable[[str], str]) -> None:
+        self.known[name] = call
+
+    def chain(self, *names: str) -> list[tuple[str, Callable[[str], str]]]:
+        missing = [n for n in names if n not in self.known]
+        if missing:
+            raise KeyError(f"no provider named {missing[0]}; known: {', '.join(sorted(self.known))}")
+        return [(n, self.known[n]) for n in names or ("extract",)]
+
+    def complete(self, prompt: str, *names: str) -> Answer:
+        return first_success(prompt, self.chain(*names))
+
+    def chat(self, messages: list[tuple[str, str]], *names: str) -> Answer:
+        """messages: (role, text), put together as one prompt."""
+        return self.complete("\n".join(f"{role}: {text}" for role, text in messages), *names)
+
+    def stream(self, prompt: str, *names: str, words: int = 5) -> Iterable[str]:
+        """Pieces of the first provider's answer; a failure is a piece of its own."""
+        (name, call), *_ = self.chain(*names)
+        text = first_success(prompt, [(name, call)]).content
+        parts = text.split(" ")
+        for i in range(0, len(parts), words):
+            yield " ".join(parts[i : i + words]) + (" " if i + words < len(parts) else "")
+
+
+def extract(prompt: str, most: int = 3) -> str:
+    """The default generator: the prompt's first sentences."""
+    return " ".join(re.split(r"(?<=[.!?])\s+", prompt.strip())[:most])
+
+
+def completed(prompts: DataFrame, key: str, chain: list[tuple[str, Callable[[str], str]]]) -> DataFrame:
+    """prompts(key, prompt) -> (key, content, provider, tokens), in Arrow batches on the executors."""
+    def batch(keys, texts):
+        out = [first_success(t or "", chain) for t in texts]
+        return keys, [a.content for a in out], [a.provider for a in out], [a.tokens for a in out]
+
+    return map_batches(prompts.select(key, "prompt"), batch, f"{key} {dict(prompts.dtypes)[key]}, content string, provider string, tokens int")

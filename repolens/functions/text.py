@@ -122,3 +122,23 @@ def hmac_sha256(key: str, message: Column) -> Column:
     outer = F.lit(bytearray(b ^ 0x5C for b in raw))
     first = F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))
     return F.sha2(F.concat(outer, first), 256)
+
+
+def signature_ok(provider: Column, signature: Column, key: str, message: Column) -> Column:
+    """Is a delivery signed with the key? GitLab sends the key itself or the hex digest, with or without its prefix; GitHub the digest with the
+    prefix sha256=. No signature is none."""
+    digest = hmac_sha256(key, message)
+    gitlab = (signature == key) | (F.regexp_replace(signature, "^sha256=", "") == digest)
+    github = signature == F.concat(F.lit("sha256="), digest)
+    return F.coalesce(F.when(provider == "gitlab", gitlab).otherwise(github), F.lit(False))
+
+
+def clamped(k: Column, kind: Column) -> Column:
+    """Number of hits asked for, at most 50 for code and keywords, 30 for documents and incidents."""
+    return F.least(k, F.when(kind.isin("code", "keyword"), 50).otherwise(30))
+
+
+def inside(path: Column, base: str) -> Column:
+    """Does a path stay within a folder? It must begin there and never step up."""
+    root = base.rstrip("/")
+    return ((path == root) | path.startswith(root + "/")) & ~F.array_contains(F.split(path, "/"), "..")

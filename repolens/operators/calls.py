@@ -103,3 +103,17 @@ def documented_callees(e: DataFrame, docs: DataFrame, most: int = 5, size: int =
     top = top_per_group(e, ["project_id", "src"], most, F.asc("dst")).drop("rank")
     d = docs.groupBy("project_id", F.col("component_id").alias("dst")).agg(F.max("doc").alias("doc"))
     return top.join(d, ["project_id", "dst"], "left").select("project_id", "src", "dst", F.substring(F.coalesce("doc", F.lit("")), 1, size).alias("doc"))
+
+
+def callers_of(symbols: DataFrame, name: str) -> DataFrame:
+    """(project_id, caller_id, file_path) of symbols that call something of this name, exactly and whatever the rank of any search."""
+    return symbols.filter(F.array_contains("calls", name)).select("project_id", F.coalesce("qualified_name", "name").alias("caller_id"), "file_path").distinct()
+
+
+def fuzzy_docs(symbols: DataFrame, docs: DataFrame, by: list[str], size: int = 150) -> DataFrame:
+    """symbols(by..., symbol_id, name, docstring), docs(by..., place, doc_name, doc) -> (symbol_id, doc): the first document by place whose name
+    holds the symbol's, else its docstring, else 'No documentation', `size` characters of it. A symbol meets only documents with the same `by`."""
+    s = symbols.select(*by, "symbol_id", "name", "docstring").distinct()
+    hit = s.select(*by, "symbol_id", "name").join(docs, by).filter(F.contains("doc_name", F.col("name"))).groupBy("symbol_id").agg(F.min_by("doc", F.struct("place", "doc_name", "doc")).alias("doc"))
+    text = F.coalesce(F.nullif(X.strip(F.substring("doc", 1, size)), F.lit("")), F.substring(F.coalesce(F.nullif("docstring", F.lit("")), F.lit("No documentation")), 1, size))
+    return s.join(hit, "symbol_id", "left").select("symbol_id", text.alias("doc"))

@@ -66,6 +66,12 @@ def reused(tree: DataFrame, again: DataFrame) -> DataFrame:
     return tree.join(again, ["project_id", "module"], "left_anti")
 
 
+def with_docs(modules: DataFrame, docs: DataFrame) -> DataFrame:
+    """modules(project_id, module) with has_doc: is there a document of that module?"""
+    have = docs.select("project_id", "module").distinct().withColumn("has_doc", F.lit(True))
+    return modules.join(have, ["project_id", "module"], "left").withColumn("has_doc", F.coalesce("has_doc", F.lit(False)))
+
+
 def order(tree: DataFrame) -> DataFrame:
     """Modules with their place in leaf-first order: deeper ones first, by name."""
     return tree.withColumn("place", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc(F.size("path")), F.array_join("path", "/"))))

@@ -285,9 +285,13 @@ def context(hits: DataFrame) -> DataFrame:
     return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n---\n").alias("context"))
 
 
-def localize(hits: DataFrame) -> DataFrame:
-    """The first hit of the code collection, else the first; no row without hits."""
-    return hits.orderBy(F.col("collection") != "code_repo", "rank").limit(1)
+def localize(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The first hit of the code collection, else the first; no row without hits. With `by`, one for each of these keys."""
+    order = F.struct(F.coalesce(F.col("collection") != "code_repo", F.lit(True)), "rank")
+    if by:
+        rest = [c for c in hits.columns if c not in by]
+        return hits.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(*by, *[F.col("_b")[c].alias(c) for c in rest])
+    return hits.orderBy(order).limit(1)
 
 
 def wiki_search(docs: DataFrame, query: str, name: str = "module_name", text: str = "content", most: int = 20) -> DataFrame:

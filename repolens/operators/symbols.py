@@ -149,3 +149,12 @@ def extract(files: DataFrame) -> DataFrame:
             yield project, path, spoken, n, f"{parent}.{n}" if parent else n, kind, doc, a, e, parent, calls, params, body
 
     return map_rows(spread(files.select("project_id", "file_path", "language", "content")), row, SCHEMA).distinct()
+
+
+def in_order(symbols: DataFrame, *ties: str) -> DataFrame:
+    """Symbols with their place in their file: by first line, classes before functions on the same line, then by name."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    kind = F.when(F.col("symbol_type") == "class", 0).otherwise(1)
+    return symbols.withColumn("place", F.row_number().over(W.partitionBy("project_id", "file_path").orderBy("start_line", kind, "name", "end_line", *ties)))

@@ -624,10 +624,11 @@ def g6_two_hops(spark: SparkSession, d: str) -> DataFrame:
     return G.neighbours(g, g.select(F.col("src").alias("node")).distinct(), 2)
 
 
-REACH = ", b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), cc AS (SELECT x AS node, x AS seen FROM b UNION SELECT b.y, cc.seen FROM cc JOIN b ON b.x = cc.node)"
+REACH = """, b AS (SELECT src AS x, dst AS y FROM g UNION SELECT dst, src FROM g), cc(node, seen) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION
+    (SELECT b.y, min(cc.seen) FROM cc JOIN b ON b.x = cc.node JOIN recurring.cc AS r ON r.node = b.y WHERE cc.seen < r.seen GROUP BY b.y))"""
 
 
-@query(RECURSIVE(COMPS) + ", g AS (SELECT project_id || '|' || src AS src, project_id || '|' || dst AS dst FROM edges)" + REACH + " SELECT node, min(seen) AS component FROM cc GROUP BY 1")
+@query(RECURSIVE(COMPS) + ", g AS (SELECT project_id || '|' || src AS src, project_id || '|' || dst AS dst FROM edges)" + REACH + " SELECT node, seen AS component FROM cc")
 def g1_connected(spark: SparkSession, d: str) -> DataFrame:
     return G.connected_components(_graph(spark, d))
 
@@ -826,7 +827,7 @@ def g1_part_edges(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
 
 
-@query(RECURSIVE(PARTS) + ", g AS (SELECT * FROM e)" + REACH + " SELECT node, min(seen) AS component FROM cc GROUP BY 1")
+@query(RECURSIVE(PARTS) + ", g AS (SELECT * FROM e)" + REACH + " SELECT node, seen AS component FROM cc")
 def g1_part_components(spark: SparkSession, d: str) -> DataFrame:
     return G.connected_components(_parts(spark, d))
 

@@ -129,3 +129,30 @@ def reviews(answers: DataFrame) -> DataFrame:
         (readable & review_passed(F.coalesce(r["scores"], F.create_map().cast("map<string,double>")), r["overall"], r["passed"])).alias("passed"),
         F.when(readable, F.coalesce(F.size(F.coalesce(r["issues"], F.array().cast("array<string>"))), F.lit(0))).otherwise(1).alias("issues"),
     )
+
+
+# Callees whose documents go into a symbol's input, characters of each.
+CALLEES, CALLEE = 5, 200
+
+
+def symbol_documents(nodes: DataFrame, edges: DataFrame, generator: Generator = outline) -> DataFrame:
+    """nodes(node, source), edges(src, dst) -> (node, level, content): a document a symbol, callees before callers, so that a symbol's input holds
+    the starts of the documents of its first callees. All symbols of a level are one step; their number is the longest chain."""
+    from . import graph as G
+
+    level = checkpoint(G.topological_levels(nodes.select("node"), edges).join(nodes.select("node", "source"), "node"))
+    kept = checkpoint(G.break_cycles(edges)[0])
+    docs = nodes.sparkSession.createDataFrame([], f"node {dict(nodes.dtypes)['node']}, level int, content string")
+
+    def write(node, n, text):
+        yield node, n, generator("function", str(node), text or "")
+
+    for n in range((level.agg(F.max("level")).first()[0] or 0) + 1):
+        now = level.filter(F.col("level") == n)
+        below = kept.join(now.select(F.col("node").alias("src")), "src", "left_semi").join(docs.select(F.col("node").alias("dst"), "content"), "dst")
+        first = top_per_group(below, ["src"], CALLEES, F.asc("dst")).groupBy(F.col("src").alias("node")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("## "), F.col("dst").cast("string"), F.lit("\n"), F.substring("content", 1, CALLEE)).alias("b")))), lambda x: x["b"]), "\n").alias("callees")
+        )
+        text = F.concat_ws("\n", F.substring(F.coalesce("source", F.lit("")), 1, SOURCE), F.col("callees"))
+        docs = checkpoint(docs.unionByName(map_rows(now.join(first, "node", "left").select("node", "level", text.alias("t")), write, docs.schema)))
+    return docs

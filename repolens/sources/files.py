@@ -31,6 +31,23 @@ def walk(spark: SparkSession, root: str, project: str) -> DataFrame:
     )
 
 
+def sorted_walk(files: DataFrame) -> DataFrame:
+    """(project_id, file_path, place) of the files an index run takes, in the order of their paths. .tox is skipped like all directories that
+    begin with a dot; repeated deliveries count once."""
+    from pyspark.sql import Window as W
+
+    taken = files.filter(X.is_walked("file_path", "size")).select("project_id", "file_path").distinct()
+    return taken.withColumn("place", F.row_number().over(W.partitionBy("project_id").orderBy("file_path")))
+
+
+def readable(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """raw(file_path, content binary) -> (file_path, content string, repaired) with bytes that aren't UTF-8 as U+FFFD, and the rejects
+    (file_path, reason): files that could not be read, whose content is null."""
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    ok = raw.filter("content IS NOT NULL").select("file_path", text.alias("content"), (~F.is_valid_utf8(F.col("content").cast("string"))).alias("repaired"))
+    return ok, raw.filter("content IS NULL").select("file_path", F.lit("unreadable").alias("reason"))
+
+
 def markdown(spark: SparkSession, paths: str | list[str], required: bool = True) -> DataFrame:
     """(path, text) of whole Markdown files that aren't blank. A missing path is an error if required, else gives no rows."""
     try:
@@ -80,13 +97,17 @@ def module_tree(spark: SparkSession, text: str | None, project: str) -> DataFram
 class ExportedEvents(DataSource):
     """Exports of a source-code host as JSON lines, a task a file: spark.read.format("scm_export").option("kind", ...).load(paths).
 
-    kinds: issues (entries that are merge requests are dropped), pulls, comments (issue and review comments together), commits.
+    kinds: issues (of the first `limit` entries of a file, those that are merge requests are dropped afterwards), pulls, comments (issue
+    and review comments together; `system` marks notes the host wrote itself, which one host never tells), commits, diffs, contents.
+    Paths are read with Spark's text reader by `exported`, which works with any file system.
     """
 
     FIELDS = {
         "issues": "number int, title string, description string, state string, author string, created_at string, web_url string",
         "pulls": "number int, title string, description string, state string, author string, source_branch string, target_branch string, created_at string, web_url string",
-        "comments": "number int, author string, body string, created_at string, review boolean",
+        "comments": "number int, author string, body string, created_at string, review boolean, system boolean",
+        "diffs": "old_path string, new_path string, new_file boolean, renamed_file boolean, deleted_file boolean, diff string",
+        "contents": "file_path string, ref string, content string",
         "commits": "sha string, message string, author_name string, author_email string, authored_date string, added array<string>, modified array<string>, removed array<string>",
     }
 
@@ -105,25 +126,45 @@ class _ExportReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
         self.kind, self.names = options.get("kind", "issues"), schema.fieldNames()
+        self.limit = int(options["limit"]) if options.get("limit") else None
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition):
         with open(partition.value, encoding="utf-8", errors="replace") as f:
-            for line in f:
-                if not line.strip():
-                    continue
-                x = json.loads(line)
-                if self.kind == "issues" and x.get("pull_request"):
-                    continue
-                user = x.get("user") or {}
-                x.setdefault("author", user.get("login") if isinstance(user, dict) else user)
-                x.setdefault("description", x.get("body"))
-                x.setdefault("web_url", x.get("html_url"))
-                if self.kind == "comments":
-                    x["review"] = bool(x.get("pull_request_review_id") or x.get("review"))
-                yield tuple(x.get(n) for n in self.names)
+            yield from _records(f, self.kind, self.names, self.limit)
+
+
+def _records(lines, kind: str, names: list[str], limit: int | None):
+    """Rows of JSON lines; the limit counts entries before any are dropped."""
+    n = 0
+    for line in lines:
+        if not line.strip():
+            continue
+        if limit is not None and n >= limit:
+            return
+        n += 1
+        x = json.loads(line)
+        if kind == "issues" and x.get("pull_request"):
+            continue
+        user = x.get("user") or {}
+        x.setdefault("author", user.get("login") if isinstance(user, dict) else user)
+        x.setdefault("description", x.get("body"))
+        x.setdefault("web_url", x.get("html_url"))
+        if kind == "comments":
+            x["review"] = bool(x.get("pull_request_review_id") or x.get("review"))
+            x["system"] = bool(x.get("system"))
+        yield tuple(x.get(n) for n in names)
+
+
+def exported(spark: SparkSession, paths: str | list[str], kind: str = "issues", limit: int | None = None) -> DataFrame:
+    """Rows of exports of a source-code host, from any file system Spark reads: a file is one row of text, so an export must fit one task."""
+    from ..functions.batches import map_rows
+
+    schema = ExportedEvents.FIELDS[kind]
+    names = [f.split()[0] for f in schema.split(", ")]
+    return map_rows(spark.read.text(paths, wholetext=True), lambda text: _records((text or "").split("\n"), kind, names, limit), schema)
 
 
 def ordered_comments(comments: DataFrame) -> DataFrame:

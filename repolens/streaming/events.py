@@ -86,9 +86,67 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "10 minutes")
 
 
 def answer_events(answers: DataFrame, words: int = 5) -> DataFrame:
-    """(thread_id, seq, kind, text): an answer as a stream of events: thinking, chunks of `words` words, done."""
+    """(thread_id, seq, kind, text): an answer as a stream of events: thinking, chunks of `words` words, then its sources and metadata, if answers
+    have these columns (JSON texts), an error instead of all that, if they have one that isn't null, and done."""
     w = F.split("answer", " ")
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / words).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice(w, i * words + 1, F.lit(words)), " "))
     item = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
-    events = F.concat(F.array(item("thinking", F.lit(""))), F.transform(chunks, lambda c: item("chunk", c)), F.array(item("done", F.lit(""))))
+    more = [F.array(item(c, F.col(c))) for c in ("sources", "metadata") if c in answers.columns]
+    told = F.concat(F.transform(chunks, lambda c: item("chunk", c)), *more)
+    if "error" in answers.columns:
+        told = F.when(F.col("error").isNotNull(), F.array(item("error", F.col("error")))).otherwise(told)
+    events = F.concat(F.array(item("thinking", F.lit(""))), told, F.array(item("done", F.lit(""))))
     return answers.select("thread_id", F.posexplode(events).alias("seq", "e")).select("thread_id", "seq", "e.kind", "e.text")
+
+
+# Least characters of a discussion's text, seconds regeneration waits, symbols it takes at most.
+REGENERATE_AFTER, REGENERATE_MOST = 60, 50
+
+
+def threads(events: DataFrame) -> DataFrame:
+    """Merge-request and issue events(kind, project, number, title, text, state, author) -> threads for `chunking.discussion_chunks`; other
+    kinds give none. The last event of a thread in a batch wins."""
+    e = events.withColumn("_r", route(F.col("kind"))).filter(F.col("_r").isin("merge_request", "issue"))
+    none = F.array().cast("array<struct<author:string,body:string>>")
+    rows = e.select(
+        F.col("project").alias("project_id"), F.when(F.col("_r") == "issue", "issue").otherwise("merge_request").alias("context_type"), F.col("number").alias("context_id"),
+        "title", "state", "author", F.col("text").alias("body"), none.alias("comments"), "at",
+    )
+    return latest(rows, ["project_id", "context_type", "context_id"], F.col("at")).drop("at")
+
+
+def regeneration(changes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project_id, due, name, file_path): the first 50 distinct symbols of a batch's changed files by name, due a minute after the last change of
+    their project; documents are made anew then."""
+    from pyspark.sql import Window as W
+
+    changed = changes.filter("change = 'changed'")
+    due = changed.groupBy("project_id").agg((F.max("at") + F.make_dt_interval(secs=F.lit(REGENERATE_AFTER))).alias("due"))
+    hit = symbols.select("project_id", "file_path", "name").join(changed.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_semi").distinct()
+    top = hit.withColumn("_n", F.row_number().over(W.partitionBy("project_id").orderBy("name", "file_path"))).filter(F.col("_n") <= REGENERATE_MOST).drop("_n")
+    return top.join(due, "project_id").select("project_id", "due", "name", "file_path")
+
+
+def refresh_due(last: DataFrame, now: Column) -> DataFrame:
+    """last(project_id, at) -> projects whose static documents were last refreshed a day or more before now, or never."""
+    return last.filter(F.col("at").isNull() | (F.col("at") <= now - F.make_dt_interval(days=F.lit(1)))).select("project_id")
+
+
+def retried(apply: Callable[[DataFrame, int], None], dead_letter: Callable[[DataFrame, int, str], None] | None = None, times: int = 3, wait: float = 60.0):
+    """A batch function that is tried again up to `times` times, waiting a multiple of `wait` seconds longer each time. A batch that still fails
+    goes to the dead letters, if there are any, else the error ends the stream; its checkpoint then brings the batch again."""
+    import time
+
+    def run(df: DataFrame, n: int) -> None:
+        for k in range(times + 1):
+            try:
+                return apply(df, n)
+            except Exception as e:  # noqa: BLE001 - whatever a sink raises
+                if k < times:
+                    time.sleep(wait * (k + 1))
+                elif dead_letter is None:
+                    raise
+                else:
+                    dead_letter(df, n, str(e))
+
+    return run
