@@ -57,17 +57,7 @@ def mean_pool(vectors: Column, mask: Column) -> Column:
 
 
 def pair_scorer(score: Callable[[str, str], float]):
-    """A pair score as an Arrow-batched column function (query, content) -> double."""
-
-    @F.pandas_udf("double")
-    def run(query: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([float(score(q, c)) for q, c in zip(query, content, strict=True)])
-
-    return run
-
-
-def guarded(score: Callable[[str, str], float]):
-    """A pair score as an Arrow-batched column function that gives null for all rows of a batch in which it raises."""
+    """A pair score as an Arrow-batched column function (query, content) -> double; null for all rows of a batch in which it raises."""
 
     @F.pandas_udf("double")
     def run(query: pd.Series, content: pd.Series) -> pd.Series:

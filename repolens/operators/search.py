@@ -234,11 +234,15 @@ def diverse(hits: DataFrame, k: int, most: int = 2, by: list[str] | None = None)
 
 
 def rerank(hits: DataFrame, query: str, k: int, scorer=None) -> DataFrame:
-    """Hits by a pair score of query and content (first 2,048 characters): overlap of words on [-10, 10], or the given scorer - a column
-    function (query, content), or a Python function of two strings made safe by `scorers.guarded`, which gives null for a batch
-    that fails. If any score of the candidates is null the scorer has failed: order and scores stay as they are. Candidates are the
-    few hits of a search."""
-    scored = hits.withColumn("rerank_score", (scorer or overlap_score)(F.lit(query), F.substring(F.coalesce("content", F.lit("")), 1, 2048)))
+    """Hits by a pair score of query and content (first 2,048 characters): overlap of words on [-10, 10], or the given scorer, a column
+    function (query, content). If it raises, or any score of the candidates is null - which is what `scorers.pair_scorer` makes of
+    a Python model that raises on an executor -, it has failed: order and scores stay as they are. Candidates are the few hits of a search."""
+    text = F.substring(F.coalesce("content", F.lit("")), 1, 2048)
+    try:
+        score = (scorer or overlap_score)(F.lit(query), text)
+    except Exception:  # noqa: BLE001 - whatever a scorer raises
+        score = F.lit(None).cast("double")
+    scored = hits.withColumn("rerank_score", score)
     if scorer is not None:
         scored = scored.withColumn("_bad", F.max(F.col("rerank_score").isNull()).over(W.partitionBy(F.lit(0))))
         scored = scored.withColumn("rerank_score", F.when(~F.col("_bad"), F.col("rerank_score"))).drop("_bad")

@@ -153,21 +153,37 @@ class Engine:
         return V.fan_out({n: d.drop("collection") for n, d in arms.items()}, k)
 
     def query(self, text: str, project: str | None = None, k: int = 8, scorer=None) -> dict:
-        """Deterministic plan of tools: search, keywords, rerank, diversity. Returns sources (a DataFrame), confidence and hits a collection."""
+        """A loop of tool calls within the budget of `Settings.steps`: search in all collections; then, as long as fewer than k hits are known, keyword
+        searches of the question's longest words, one a step, and the entity each names; then rerank and diversity. Returns sources (a
+        DataFrame), confidence, hits a collection and the steps taken."""
         if not 1 <= len(text) <= self.settings.query_length:
             raise ValueError("a query has 1 to 2,000 characters")
-        found = self.search_all(text, project, 2 * k)
         from pyspark.sql import Window as W
 
+        found = self.search_all(text, project, 2 * k)
+        steps = ["search"]
+        plan = [(tool, w) for w in sorted(set(_tokens(text)), key=lambda w: (-len(w), w)) for tool in ("keywords", "entity")]
+        while plan and len(steps) < self.settings.steps and found.limit(k).count() < k:
+            tool, word = plan.pop(0)
+            more = self.keyword_search([word], k=k) if tool == "keywords" else self.retrieve_entity(word, project)
+            found = checkpoint(V.keep_best(found.unionByName(more.select(*[c for c in more.columns if c in found.columns]), allowMissingColumns=True), "chunk_id"))
+            steps.append(f"{tool}:{word}")
+
         found = found.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "chunk_id")))  # a few hits, bounded by k
         best = checkpoint(V.diverse(V.rerank(found, text, 4 * k, scorer), k, self.settings.most_per_file))
         top = best.agg(F.max("score").alias("s")).select(X.confidence(F.col("s")).alias("c")).first().c
         hits = {r.collection: r.hits for r in V.collection_hits(best).collect()}
         context = V.context(best).first()
-        run = {"thread_id": f"{project or 'all'}:{text[:32]}", "confidence": top, "collection_hits": hits}
+        run = {"steps": steps, "thread_id": f"{project or 'all'}:{text[:32]}", "confidence": top, "collection_hits": hits}
         self.spark.createDataFrame([(run["thread_id"], text, float(top), json.dumps(hits))], "thread_id string, query string, confidence double, hits string").write.mode("append").parquet(f"{self.folder}/agent_runs")
         return run | {"sources": best, "context": context.context if context else ""}
 
+    def conversation(self, thread_id: str) -> DataFrame:
+        """The stored runs of a thread; none before the first."""
+        if not FS.exists(self.spark, f"{self.folder}/agent_runs"):
+            return self.spark.createDataFrame([], "thread_id string, query string, confidence double, hits string")
+        return self.spark.read.parquet(f"{self.folder}/agent_runs").filter(F.col("thread_id") == thread_id)
+
     def localize(self, issue: str, project: str | None = None) -> DataFrame:
         if not 10 <= len(issue) <= 5000:
             raise ValueError("an issue has 10 to 5,000 characters")
@@ -189,10 +205,13 @@ class Engine:
         return out
 
     def wiki(self, project: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/wiki_docs").filter(F.col("project_id") == project)
-        except Exception:
+        if not FS.exists(self.spark, f"{self.folder}/wiki_docs"):
             return None
+        return self.spark.read.parquet(f"{self.folder}/wiki_docs").filter(F.col("project_id") == project)
+
+    def wiki_regenerate(self, project: str, changed: DataFrame | None = None, generator: WK.Generator = WK.outline) -> DataFrame:
+        """All documents of a project anew, or only what changed(project_id, file_path) affects."""
+        return self.wiki_generate(project, generator, changed)
 
     def wiki_tree(self, project: str) -> DataFrame:
         """Modules in order of their paths, each with whether it has a document."""
@@ -207,22 +226,45 @@ class Engine:
     def wiki_projects(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/wiki_docs").select("project_id").distinct().orderBy("project_id")
 
+    def _batch_hits(self, cases: DataFrame, k: int) -> DataFrame:
+        """(query_id, chunk_id, file_path, symbol_name, score) of all cases at once: one dense pass and one keyword join a collection, fused."""
+        embed = F.udf(scorers.embed_query, "array<float>")  # cases are a hand-written set
+        q = checkpoint(cases.select("query_id", "project_id", embed("query").alias("embedding"), F.array_distinct(X.tokens("query")).alias("words")))
+        parts = []
+        for name, s in self.collections.items():
+            n = 2 * k if name == "code_repo" else k
+            points = s.read().select("chunk_id", "project_id", "file_path", "symbol_name", "content", "embedding")
+            near = V.dense(points, q.select("query_id", "embedding"), 4 * n, "chunk_id") if name != "code_repo" else self._dense_by_project(points, q, 4 * n)
+            words = q.select("query_id", F.col("project_id").alias("_p"), F.size("words").alias("_n"), F.explode("words").alias("token"))
+            match = V.postings(points, "chunk_id").join(F.broadcast(words), "token").join(points.select("chunk_id", "project_id"), "chunk_id")
+            if name == "code_repo":
+                match = match.filter(F.col("_p").isNull() | (F.col("_p") == F.col("project_id")))
+            match = match.groupBy("query_id", "chunk_id", "_n").agg(F.count("*").alias("_m")).filter("_m = _n").select("query_id", "chunk_id")
+            text = K.top_per_group(match, ["query_id"], n, F.asc("chunk_id"))
+            fused = V.fuse(near.select("query_id", "chunk_id", "rank"), text, "chunk_id", n, ["query_id"])
+            parts.append(fused.select("query_id", "chunk_id", "score").join(points.select("chunk_id", "file_path", "symbol_name"), "chunk_id"))
+        out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return out.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.first("file_path").alias("file_path"), F.first("symbol_name").alias("symbol_name"))
+
+    def _dense_by_project(self, points: DataFrame, q: DataFrame, k: int) -> DataFrame:
+        """Dense hits of queries that ask for a project among its points only: a pass for each project asked for."""
+        asked = [r.project_id for r in q.select("project_id").distinct().collect()]
+        parts = [V.dense(V.matches(points, {"project_id": p} if p else None), q.filter(F.col("project_id").eqNullSafe(p)).select("query_id", "embedding"), k, "chunk_id") for p in asked]
+        if not parts:
+            return V.dense(points, q.select("query_id", "embedding"), k, "chunk_id")
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     # --- evaluation ----------------------------------------------------------------------------------------------
     def evaluate(self, cases: DataFrame, limits: dict[str, float] | None = None, k: int = 20) -> tuple[DataFrame, DataFrame]:
         """Retrieval metrics of cases(query_id, query, project_id, expected_files, expected_symbols), a hand-written set; and the thresholds."""
-        parts = []
-        for c in cases.collect():
-            hits = self.search_all(c["query"], c.project_id, k)
-            parts.append(hits.select(F.lit(c.query_id).alias("query_id"), "score", "chunk_id", "file_path", "symbol_name"))
-        if not parts:
-            means = A.mean_over_cases(A.ranking(self.spark.createDataFrame([], "query_id string, rank int, rel boolean")), cases)
-        else:
-            hits = parts[0]
-            for p in parts[1:]:
-                hits = hits.unionByName(p)
-            ranked = K.top_per_group(hits, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).join(cases.select("query_id", "expected_files", "expected_symbols"), "query_id")
-            rel = A.relevant(F.col("file_path"), F.col("symbol_name"), F.col("expected_files"), F.col("expected_symbols"))
-            means = A.mean_over_cases(A.ranking(ranked.select("query_id", "rank", rel.alias("rel"))), cases)
+        asked = cases.select("query_id", "query", "project_id", "expected_files", "expected_symbols")
+        hits = self._batch_hits(asked, k)
+        ranked = K.top_per_group(hits, ["query_id"], k, F.desc("score"), F.asc("chunk_id")).join(asked.select("query_id", "expected_files", "expected_symbols"), "query_id")
+        rel = A.relevant(F.col("file_path"), F.col("symbol_name"), F.col("expected_files"), F.col("expected_symbols"))
+        means = A.mean_over_cases(A.ranking(ranked.select("query_id", "rank", rel.alias("rel"))), cases)
         means = checkpoint(means)
         return means, A.thresholds(means, limits or {"mrr": 0.40, "hit_3": 0.55, "hit_5": 0.70, "ndcg_5": 0.45})
 

@@ -248,7 +248,7 @@ def x2_model_rerank(spark: SparkSession, d: str) -> DataFrame:
         return len(words & {w for w in re.findall("[a-z0-9_]+", c.lower()) if len(w) <= 40}) / len(words) * 20 - 10
 
     hits = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.col("doc_id").alias("rank"), F.lit(0.0).alias("score"))
-    return V.rerank(hits, "retry budget nightly index", 50, SC.guarded(model)).select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+    return V.rerank(hits, "retry budget nightly index", 50, SC.pair_scorer(model)).select("doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
 @query("SELECT doc_id, doc_id / 1000.0::DOUBLE AS score, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 50")
@@ -258,7 +258,7 @@ def v16_failed_rerank(spark: SparkSession, d: str) -> DataFrame:
         raise RuntimeError("no model")
 
     hits = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.col("doc_id").alias("rank"), (F.col("doc_id") / 1000.0).alias("score"))
-    return V.rerank(hits, "retry budget", 50, SC.guarded(model)).select("doc_id", "score", F.col("rank").cast("bigint"))
+    return V.rerank(hits, "retry budget", 50, SC.pair_scorer(model)).select("doc_id", "score", F.col("rank").cast("bigint"))
 
 
 ARMS = [("code_repo", "wiki", ["retry", "budget"]), ("app_docs", "readme", ["nightly", "index"]), ("incident_reports", "incidents", ["retry", "nightly"])]

@@ -146,7 +146,7 @@ def _records(lines, kind: str, names: list[str], limit: int | None):
             return
         n += 1
         x = json.loads(line)
-        if kind == "issues" and x.get("pull_request"):
+        if kind == "issues" and x.get("pull_request") is not None:
             continue
         user = x.get("user") or {}
         x.setdefault("author", user.get("login") if isinstance(user, dict) else user)
@@ -172,6 +172,11 @@ def ordered_comments(comments: DataFrame) -> DataFrame:
     return comments.orderBy("created_at", "review")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Snapshot:
     """A keyed collection kept as a Parquet table partitioned by project. Changes rewrite the touched projects only."""
 
@@ -186,8 +191,7 @@ class Snapshot:
             self.spark.createDataFrame([], schema).write.partitionBy("project_id").parquet(self.path)
 
     def exists(self) -> bool:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs_path)
+        return exists(self.spark, self.path)
 
     def read(self) -> DataFrame:
         reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,3 +315,100 @@ def test_cycles_are_complete_or_an_error(spark):
     for few in (lambda: G.strong_components(df, rounds=1), lambda: G.connected_components(df, rounds=1)):
         with pytest.raises(RuntimeError):
             few()
+
+
+def test_a_model_that_fails_on_executors_changes_nothing(spark):
+    hits = spark.createDataFrame([("a", 1.0, 1, "x"), ("b", 0.5, 2, "y")], "chunk_id string, score double, rank int, content string")
+
+    def broken(q, c):
+        raise ValueError(c)
+
+    assert [(r.chunk_id, r.score) for r in V.rerank(hits, "q", 2, scorers.pair_scorer(broken)).orderBy("rank").collect()] == [("a", 1.0), ("b", 0.5)]
+
+
+def test_providers():
+    p = scorers.Providers()
+    p.register("down", lambda t: scorers.FAILED + " no")
+    p.register("up", str.upper)
+    assert p.complete("ab c", "down", "up").content == "AB C" and p.complete("ab c", "down", "up").provider == "up"
+    assert p.chat([("user", "hi")], "up").content == "USER: HI"
+    assert "".join(p.stream("a b c d e f g", "up")) == "A B C D E F G" and "".join(p.stream("x", "down")).startswith(scorers.FAILED)
+    assert p.complete("One. Two! Three? Four.").content == "One. Two! Three?"
+    with pytest.raises(KeyError):
+        p.complete("x", "nobody")
+
+
+def test_batches_are_tried_again_and_laid_aside():
+    calls, dead = [], []
+
+    def apply(df, n):
+        calls.append(n)
+        if len(calls) < 3:
+            raise OSError("busy")
+
+    R.retried(apply, wait=0)(None, 7)
+    assert calls == [7, 7, 7]
+    fails = lambda df, n: 1 / 0
+    R.retried(fails, lambda df, n, why: dead.append((n, why)), wait=0)(None, 8)
+    assert dead == [(8, "division by zero")]
+    with pytest.raises(ZeroDivisionError):
+        R.retried(fails, wait=0)(None, 9)
+
+
+def test_exports_from_any_file_system(spark, tmp_path):
+    lines = ['{"number": 1, "title": "a", "body": "x", "user": {"login": "u"}}', '{"number": 2, "pull_request": {}}', "", '{"number": 3, "title": "c"}']
+    (tmp_path / "i.jsonl").write_text("\n".join(lines))
+    path = f"file://{tmp_path}/i.jsonl"
+    assert [(r.number, r.description, r.author) for r in FS.exported(spark, path).collect()] == [(1, "x", "u"), (3, None, None)]
+    assert [r.number for r in FS.exported(spark, path, limit=2).collect()] == [1]  # the limit comes before merge requests are dropped
+    (tmp_path / "c.jsonl").write_text('{"number": 1, "body": "x", "system": true}\n{"number": 1, "body": "y"}')
+    assert [r.system for r in FS.exported(spark, f"file://{tmp_path}/c.jsonl", "comments").collect()] == [True, False]
+
+
+def test_postings_and_scans_give_the_same_scores(spark):
+    docs = spark.createDataFrame([(1, "Retry the budget, retry"), (2, None), (3, ""), (4, "budget_x budget " + "w" * 50), (5, "retry" * 3)], "doc_id bigint, content string")
+    scan = {r.doc_id: round(r.score, 9) for r in V.bm25(docs, ["retry", "BUDGET", "retry"], "doc_id").collect()}
+    index = V.postings(docs, "doc_id")
+    mean = (4 + 0 + 0 + 2 + 1) / 5
+    assert scan == {r.doc_id: round(r.score, 9) for r in V.bm25_postings(index, 5, mean, ["retry", "budget"], "doc_id").collect()} and set(scan) == {1, 4}
+    assert V.bm25(docs.limit(0), ["retry"], "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        V.bm25(docs, ["a b"], "doc_id")
+
+
+def test_dense_search_in_groups_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)] + [(60, None)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    q = v.filter("vec_id % 7 = 0 AND vec_id < 60").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = {(r.query_id, r.vec_id, r["rank"]) for r in V.dense(v, q, 5).collect()}
+    assert len(want) == 9 * 5
+    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    monkeypatch.setattr(V, "PRODUCT", 8192)
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in V.dense(v, q, 5, block=16).collect()} == want
+
+
+def test_sessions_on_clusters_need_a_named_folder():
+    from types import SimpleNamespace
+
+    from repolens import session
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getConf=lambda: conf, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)), master="spark://x:7077")
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_the_package_reaches_workers_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"import sys; sys.path.insert(0, {str(root)!r})\nfrom repolens.session import local_session\nfrom repolens.operators import symbols as S\ns = local_session(2)\nd = s.createDataFrame([('p', 'a.py', 'python', 'def f():\\n    pass\\n')], 'project_id string, file_path string, language string, content string')\nprint(S.extract(d).count())\n"
+    (tmp_path / "run.py").write_text(code)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("1"), out.stderr[-2000:]
