@@ -241,10 +241,13 @@ class LeakSearch:
         owner = np.array([k for k, _ in found.windows])
         rare = [set(np.unique(ids)[np.argsort(-idf[np.unique(ids)], kind="stable")[:5]].tolist()) for _, ids in found.items]
         run = found.run
-        shared = spark.sparkContext.broadcast((found, idf, basis, windows, owner, rare))  # bounded by a block of test items
+        # for each word the items it stands in
+        pairs = np.unique(np.concatenate([ids.astype(np.int64) * len(found.items) + k for k, (_, ids) in enumerate(found.items)]))
+        posts = np.split(pairs % len(found.items), np.searchsorted(pairs // len(found.items), np.arange(1, len(found.vocabulary))))
+        shared = spark.sparkContext.broadcast((found, idf, basis, windows, owner, rare, posts))  # bounded by a block of test items
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            it, idf, basis, windows, owner, rare = shared.value
+            it, idf, basis, windows, owner, rare, posts = shared.value
             at: dict[int, dict] = {}  # places of the words of items met so far
             out: set[tuple] = set()
             for docs, passages in _passages(batches, it):
@@ -259,18 +262,26 @@ class LeakSearch:
                     if not exact and paraphrase is None:
                         continue
                     p = passages[i]
+                    runs = []
+                    if exact:
+                        starts = np.flatnonzero(np.convolve((p >= 0).astype(np.int32), np.ones(run, np.int32), "valid") == run)
+                        runs = [p[a : a + run].tobytes() for a in starts]
+                        if paraphrase is None:  # what can't be part of a run needn't be compared
+                            inside = np.zeros(len(p), bool)
+                            for k in range(run):
+                                inside[starts + k] = True
+                            p = p[inside]
                     words = p.tolist()
-                    starts = np.flatnonzero(np.convolve((p >= 0).astype(np.int32), np.ones(run, np.int32), "valid") == run) if exact else ()
-                    runs = [p[a : a + run].tobytes() for a in starts]
+                    # an item that shares fewer words can't share a subsequence of that length
+                    common = np.bincount(np.concatenate([posts[w] for w in words if w >= 0]), minlength=len(it.items))
+                    near_enough = np.bincount(owner[near[i] >= cosine], minlength=len(it.items))
                     close = set(owner[near[i] >= max(cosine, paraphrase_cosine)].tolist()) if paraphrase is not None else ()
-                    for k in set(owner[near[i] >= cosine].tolist()):
+                    for k in np.flatnonzero((common >= run) & (near_enough > 0)).tolist():
                         if not exact and k not in close:
                             continue
-                        if k not in at:
-                            at[k] = leaks.places(it.items[k][1])
-                        if sum(map(at[k].__contains__, words)) < run:
-                            continue
                         ids = it.items[k][1]
+                        if k not in at:
+                            at[k] = leaks.places(ids)
                         n = leaks.longest_common(at[k], len(ids), words)
                         if n < run:
                             continue
