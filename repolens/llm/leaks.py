@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -17,6 +18,7 @@ NUMBERED = re.compile(r"^[ \t>*#|-]*\(?\d{1,3}[.)][ \t]", re.M)
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑](?:[ \t]*\r?\n[ \t]*)+(?=[^\W\d_])")
 _HYPHEN_BEFORE = re.compile(r"[-‐‑][ \t]*\n")
 _WORD = re.compile(r"[^\W_]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 def words(text: str, numbers: bool = True) -> list[str]:
@@ -25,7 +27,8 @@ def words(text: str, numbers: bool = True) -> list[str]:
     if "&" in text:
         for _ in range(2):
             text = html.unescape(text)
-    if not text.isascii():
+    plain = text.isascii()
+    if not plain:
         text = _INVISIBLE.sub("", text)
     if "<" in text:
         text = _TAG.sub(lambda m: "\n" if "\n" in m[0] else "" if m[0][1:2] != "!" and m[0][:3].lower() not in ("<br", "<p>", "</p", "<li", "</l", "<di", "</d", "<td", "</t", "<tr", "<h1", "<h2", "<h3", "</h", "<hr") else " ", text)
@@ -36,7 +39,7 @@ def words(text: str, numbers: bool = True) -> list[str]:
     text = (_START if numbers else _START_NO_NUMBER).sub("", text)
     if _HYPHEN_BEFORE.search(text):
         text = _HYPHEN.sub("", text)
-    return _WORD.findall(text.lower())
+    return (_ASCII_WORD if plain else _WORD).findall(text.lower())
 
 
 class Items:
@@ -64,8 +67,7 @@ class Items:
 
     def ids(self, ws: list[str]) -> np.ndarray:
         """Word ids, -1 for words of no item."""
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in ws], np.int32) if ws else np.zeros(0, np.int32)
+        return np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), np.int32, len(ws))
 
     def passages(self, ids: np.ndarray) -> list[np.ndarray]:
         """Overlapping windows that hold at least one word of an item."""
@@ -133,10 +135,8 @@ def places(ids: np.ndarray) -> dict[int, int]:
 def longest_common(at: dict[int, int], size: int, b: list[int]) -> int:
     """Length of the longest common subsequence of a list, given by its places and size, and b (ids below 0 match nothing). All
     positions of the first list are worked on at once, as bits of one number."""
-    full = (1 << size) - 1
-    v = full
-    for x in b:
-        u = v & at.get(x, 0) if x >= 0 else 0
-        if u:
-            v = (v + u | v - u) & full
-    return size - v.bit_count()
+    full = v = (1 << size) - 1
+    for m in filter(None, map(at.get, b)):
+        u = v & m
+        v = v + u | v - u  # carries above the highest place never come back
+    return size - (v & full).bit_count()
