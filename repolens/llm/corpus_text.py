@@ -250,7 +250,7 @@ class LeakSearch:
             it, idf, basis, windows, owner, rare, posts = shared.value
             at: dict[int, dict] = {}  # places of the words of items met so far
             out: set[tuple] = set()
-            for docs, passages in _passages(batches, it):
+            for docs, passages in _passages(batches, it, run):  # fewer words of items can't hold a common subsequence of `run` words
                 m = leaks.Rows(passages, idf).times(basis)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
                 near = m @ windows.T
@@ -303,12 +303,12 @@ def _readings(text: str) -> tuple[bool, ...]:
     return (True, False) if leaks.NUMBERED.search(text) else (True,)
 
 
-def _passages(batches: Iterator[pa.RecordBatch], items: leaks.Items, block: int = 2000) -> Iterator[tuple[list, list]]:
+def _passages(batches: Iterator[pa.RecordBatch], items: leaks.Items, least: int = 1, block: int = 2000) -> Iterator[tuple[list, list]]:
     docs: list = []
     passages: list = []
     for b in batches:
         for doc_id, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ps = items.passages(np.frombuffer(blob, np.int32))
+            ps = items.passages(np.frombuffer(blob, np.int32), least)
             passages += ps
             docs += [doc_id] * len(ps)
             while len(passages) >= block:

@@ -69,16 +69,14 @@ class Items:
         """Word ids, -1 for words of no item."""
         return np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), np.int32, len(ws))
 
-    def passages(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Overlapping windows that hold at least one word of an item."""
+    def passages(self, ids: np.ndarray, least: int = 1) -> list[np.ndarray]:
+        """Overlapping windows that hold at least `least` words of items."""
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
         if len(ids) <= self.passage:
-            return [ids] if (ids >= 0).any() else []
-        out = []
-        for a in range(0, len(ids) - self.passage + self.stride, self.stride):
-            w = ids[a : a + self.passage]
-            if (w >= 0).any():
-                out.append(w)
-        return out
+            return [ids] if known[-1] >= least else []
+        starts = np.arange(0, len(ids) - self.passage + self.stride, self.stride)
+        held = known[np.minimum(starts + self.passage, len(ids))] - known[starts]
+        return [ids[a : a + self.passage] for a in starts[held >= least].tolist()]
 
 
 class Rows:
