@@ -20,7 +20,7 @@ from ..sources import files as FS
 from ..streaming import events as R
 from . import graph as G
 from . import wiki as WK
-from .queries import BM25, DENSE, DIR, HMAC, LANG, RECURSIVE, STRONG, TOKENS, _dense, comps_sql, query, strip_sql
+from .queries import BM25, DENSE, DIR, HMAC, LANG, RECURSIVE, SQL, STRONG, TOKENS, _dense, comps_sql, query, strip_sql
 
 WALKED = f"""{LANG} IS NOT NULL AND size <= 1048576 AND NOT regexp_matches('/' || file_path, '/(?:node_modules|vendor|__pycache__|venv|env|dist|build|target|\\.[^/]*)/')"""
 
@@ -136,6 +136,8 @@ def t14_import_entries(spark: SparkSession, d: str) -> DataFrame:
     return T.import_entries(f).distinct()
 
 
+SQL["t14_imports"] = SQL["t14_import_entries"]
+
 MERMAID = "replace(replace(replace(text, '```java' || chr(10), '```mermaid' || chr(10) || 'graph TD' || chr(10)), '```python' || chr(10), '```mermaid' || chr(10)), '```go' || chr(10), '```mermaid' || chr(10) || '%% none' || chr(10) || 'Sequence-Diagram x' || chr(10))"
 
 
