@@ -137,7 +137,7 @@ def train(samples: list[tuple[str, str]], epochs: int = 30, rate: float = 8.0, s
 
 
 def _calibrated(model: Model, test: list[tuple[int, list[str]]], rng: np.random.Generator, most: int = 4000) -> tuple[float, float, float]:
-    """(temperature, rejection level, accuracy) from held-out sentences.
+    """(temperature, rejection level, accuracy on whole sentences) from held-out sentences.
 
     Pure pieces are three words of a sentence; mixed ones are halves of sentences of two languages, which have no language of
     their own. The temperature makes the probabilities of both most likely (a mixed piece's two languages share its weight). The
@@ -164,11 +164,12 @@ def _calibrated(model: Model, test: list[tuple[int, list[str]]], rng: np.random.
             r = np.arange(len(mixed))
             loss -= (np.log(q[r, one] + 1e-9) / 2 + np.log(q[r, two] + 1e-9) / 2).mean()
         if best is None or loss < best[0]:
-            best = loss, float(t), p.max(1), q.max(1), float((p.argmax(1) == ys).mean())
-    _, t, p, q, right = best
+            best = loss, float(t), p.max(1), q.max(1)
+    _, t, p, q = best
+    right = model.probabilities(model.sums([ws for _, ws in test])).argmax(1) == np.array([y for y, _ in test])
     levels = np.linspace(0.3, 0.95, 66)
     reject = min(levels, key=lambda x: abs((p < x).mean() - (q >= x).mean())) if len(mixed) else 0.5
-    return t, float(reject), right
+    return t, float(reject), float(right.mean())
 
 
 # --- from a text to its sentences of running text ---------------------------------------------------------------------
