@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
-from ..functions.batches import in_arrow
+from ..functions.batches import in_arrow, spread
+from ..session import checkpoint
 from .collections import latest, top_per_group
 
 RRF = 60
@@ -124,18 +125,18 @@ _TOKEN = "(?<![a-z0-9_])%s(?![a-z0-9_])"
 
 def bm25(docs: DataFrame, words: list[str], key: str, text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of documents with any of the words, by a scan. Lengths and frequencies are over all documents. Tokens are counted, not
-    cut out: one scan counts the corpus, one the documents that hold a word. For many queries use `postings`."""
-    query = [w.lower() for w in dict.fromkeys(words)]
+    cut out, in one scan whose few numbers a document are checkpointed. For many queries use `postings`."""
+    query = list(dict.fromkeys(w.lower() for w in words))
+    if not all(2 <= len(w) <= 40 and w.replace("_", "a").isalnum() and w.isascii() for w in query):
+        raise ValueError("words are 2 to 40 letters, digits and underscores")
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     n = F.regexp_count(low, F.lit(_TOKEN % "[a-z0-9_]{2,40}")).alias("_n")
     tf = [F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(_TOKEN % w))).otherwise(0).alias(f"_f{i}") for i, w in enumerate(query)]
-    if not all(2 <= len(w) <= 40 and w.replace("_", "a").isalnum() and w.isascii() for w in query):
-        raise ValueError("words are 2 to 40 letters, digits and underscores")
-    d = docs.select(key, n, *tf)
+    d = checkpoint(spread(docs.select(key, text)).select(key, n, *tf))
     # one row of statistics: a size that doesn't depend on the documents
     stats = d.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))])
     any_of = F.greatest(*[F.col(f"_f{i}") for i in range(len(query))], F.lit(0)) > 0
-    both = docs.filter(F.greatest(*[F.contains(low, F.lit(w)) for w in query], F.lit(False))).select(key, n, *tf).filter(any_of).crossJoin(F.broadcast(stats))
+    both = d.filter(any_of).crossJoin(F.broadcast(stats))
     part = [_weight(F.col("_docs"), F.col(f"_d{i}"), F.col(f"_f{i}"), F.col("_n"), F.col("_mean"), k1, b) for i in range(len(query))]
     return both.select(key, sum(part[1:], part[0]).alias("score"))
 
@@ -154,7 +155,7 @@ def postings(docs: DataFrame, key: str, text: str = "content") -> DataFrame:
 
 def bm25_postings(index: DataFrame, docs: int, mean: float, words: list[str], key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The scores of `bm25` from postings and the corpus's number of documents and mean length, which are kept beside them."""
-    query = [w.lower() for w in dict.fromkeys(words)]
+    query = list(dict.fromkeys(w.lower() for w in words))
     mine = index.filter(F.col("token").isin(query))
     df = F.broadcast(mine.groupBy("token").agg(F.count("*").alias("_df")))  # a row a query word
     score = _weight(F.lit(docs), F.col("_df"), F.col("tf"), F.col("n"), F.lit(mean), k1, b)
